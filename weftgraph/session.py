@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -73,9 +74,14 @@ class Scratch:
         if seen:
             df = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), (seen.get if seen else {})
 
+    def release(self) -> None:
+        """Let go of the shuffle files of finished steps, which stay until the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.root}/{name}")
