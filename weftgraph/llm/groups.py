@@ -26,39 +26,55 @@ def _other_end(edges: DataFrame) -> DataFrame:
     return least.select("c", F.coalesce("below", "above").alias("p"))
 
 
-def _collapsed(scratch: Scratch, chosen: DataFrame, at: str) -> tuple[DataFrame, str, int]:
-    """Trees to stars: every component with its root, by pointer doubling. Also its table's name and row count."""
-    table, step = chosen, 0
+def _joined_up(table: DataFrame, above: DataFrame) -> DataFrame:
+    """``table`` (c, p) with q, what ``above`` has for p (null if it has nothing)."""
+    up = above.select(F.col("c").alias("m"), F.col("p").alias("q"))
+    return table.join(up, table["p"] == up["m"], "left")
+
+
+def _collapsed(scratch: Scratch, chosen: DataFrame, at: str) -> tuple[DataFrame, int]:
+    """Trees to stars: every component with its root, by pointer doubling; and the number of components.
+
+    Only components that others have chosen are on a path to a root, so the doubling runs over those; the leaves, most
+    of the components, follow in a single join.
+    """
+    parents = chosen.select(F.col("p").alias("k")).distinct()
+    inner = chosen.join(parents, chosen["c"] == parents["k"], "left_semi")
+    # Two components that chose each other: the smaller is the root.
+    mutual = F.coalesce(F.col("q") == F.col("c"), F.lit(False))
+    rooted = _joined_up(inner, inner).select("c", F.when(mutual & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
+    table, _ = scratch.save(rooted, f"{at}-0")
+    step = 0
     while True:
-        up = table.select(F.col("c").alias("m"), F.col("p").alias("q"))
-        joined = table.join(up, table["p"] == up["m"], "left")
+        step += 1
         above = F.coalesce("q", "p")
-        if step == 0:  # two components that chose each other: the smaller is the root
-            root = F.when((F.col("q") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).when(F.col("q") == F.col("c"), F.col("p")).otherwise(F.col("p"))
-            doubled = joined.select("c", root.alias("p"), F.lit(True).alias("moved"))
-        else:
-            doubled = joined.select("c", above.alias("p"), (above != F.col("p")).alias("moved"))
-        name = f"{at}-{step}"
-        table, seen = scratch.save(doubled, name, moved=F.sum(F.col("moved").cast("long")), n=F.count(F.lit(1)))
+        doubled = _joined_up(table, table).select("c", above.alias("p"), (above != F.col("p")).alias("moved"))
+        table, seen = scratch.save(doubled, f"{at}-{step}", moved=F.sum(F.col("moved").cast("long")))
         table = table.select("c", "p")
-        if step:
-            scratch.drop(f"{at}-{step - 1}")
-        if step and not seen["moved"]:
-            return table, name, seen["n"]
-        step += 1
+        scratch.drop(f"{at}-{step - 1}")
+        if not seen["moved"]:
+            break
+    # A component's own row wins: a root that was chosen has no other parent in the table.
+    own = table.select(F.col("c").alias("k"), F.col("p").alias("own"))
+    leaves = chosen.join(own, chosen["c"] == own["k"], "left_anti")
+    star = table.unionByName(_joined_up(leaves, table).select("c", F.coalesce("q", "p").alias("p")))
+    out, seen = scratch.save(star, f"{at}-star", n=F.count(F.lit(1)))
+    scratch.drop(f"{at}-{step}")
+    return out, seen["n"]
 
 
 def connected_groups(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """``links`` (u bigint, v bigint) to one (id, root) per linked id; also the number of ids."""
-    lo, hi = F.least("u", "v"), F.greatest("u", "v")
     clean = links.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-    edges, seen = scratch.save(clean.select(lo.alias("lo"), hi.alias("hi")).distinct(), "edges-0", n=F.count(F.lit(1)))
+    edges = clean.select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
     stars: list[DataFrame] = []
     ids = 0
-    while seen["n"]:
+    while True:
         k = len(stars)
-        chosen, _ = scratch.save(_other_end(edges), f"chosen-{k}")
-        star, _, n = _collapsed(scratch, chosen, f"star-{k}")
+        chosen, seen = scratch.save(_other_end(edges), f"chosen-{k}", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            break
+        star, n = _collapsed(scratch, chosen, f"star-{k}")
         scratch.drop(f"chosen-{k}")
         ids = ids or n
         stars.append(star)
@@ -66,12 +82,15 @@ def connected_groups(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, int
         moved = edges.join(a, "lo").join(b, "hi").where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
         edges, seen = scratch.save(moved, f"edges-{k + 1}", n=F.count(F.lit(1)))
         scratch.drop(f"edges-{k}")
+        scratch.release()
+        if not seen["n"]:
+            break
     if not stars:
-        return edges.select(F.col("lo").alias("id"), F.col("hi").alias("root")), 0
+        return chosen.select(F.col("c").alias("id"), F.col("p").alias("root")), 0
     roots = stars.pop()
     while stars:
-        above, below = roots.select(F.col("c").alias("m"), F.col("p").alias("q")), stars.pop()
-        roots = below.join(above, below["p"] == above["m"], "left").select("c", F.coalesce("q", "p").alias("p"))
+        below = stars.pop()
+        roots = _joined_up(below, roots).select("c", F.coalesce("q", "p").alias("p"))
     return roots.select(F.col("c").alias("id"), F.col("p").alias("root")), ids
 
 
@@ -90,9 +109,10 @@ def canonical_groups(matches: DataFrame, scope: str, names: str) -> DataFrame:
         id_of = lambda name: F.xxhash64(F.lit(seed), F.col("s"), name)  # noqa: E731, B023
         pairs = linked.select(F.explode(F.transform(F.slice("n", 2, 1 << 30), lambda x: F.struct(id_of(F.get("n", 0)).alias("u"), id_of(x).alias("v")))).alias("e")).select("e.*")
         groups, ids = connected_groups(pairs, scratch)
-        named = linked.select("s", F.explode("n").alias("name")).distinct().withColumn("id", id_of(F.col("name")))
+        every = linked.select("s", F.explode("n").alias("name")).withColumn("id", id_of(F.col("name")))
+        named = every.repartition("id").distinct()  # the join below needs the same partitioning
         labelled, seen = scratch.save(named.join(groups, "id").select("s", "name", "root"), "labelled", n=F.count(F.lit(1)))
         if seen["n"] == ids:
-            least = labelled.groupBy("s", "root").agg(F.min("name").alias("group_name"))
-            return labelled.join(least, ["s", "root"]).select(F.col("s").alias(scope), F.col("name"), "group_name")
+            least = labelled.groupBy("root").agg(F.min("name").alias("group_name"))
+            return labelled.join(least, "root").select(F.col("s").alias(scope), F.col("name"), "group_name")
     raise RuntimeError("eight hash seeds in a row collided")
