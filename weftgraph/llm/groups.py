@@ -109,9 +109,14 @@ def canonical_groups(matches: DataFrame, scope: str, names: str) -> DataFrame:
         id_of = lambda name: F.xxhash64(F.lit(seed), F.col("s"), name)  # noqa: E731, B023
         pairs = linked.select(F.explode(F.transform(F.slice("n", 2, 1 << 30), lambda x: F.struct(id_of(F.get("n", 0)).alias("u"), id_of(x).alias("v")))).alias("e")).select("e.*")
         groups, ids = connected_groups(pairs, scratch)
+        groups, _ = scratch.save(groups, "groups")
+        scratch.release()
         every = linked.select("s", F.explode("n").alias("name")).withColumn("id", id_of(F.col("name")))
         named = every.repartition("id").distinct()  # the join below needs the same partitioning
         labelled, seen = scratch.save(named.join(groups, "id").select("s", "name", "root"), "labelled", n=F.count(F.lit(1)))
+        del named, groups
+        scratch.drop("groups")
+        scratch.release()
         if seen["n"] == ids:
             least = labelled.groupBy("root").agg(F.min("name").alias("group_name"))
             return labelled.join(least, "root").select(F.col("s").alias(scope), F.col("name"), "group_name")
