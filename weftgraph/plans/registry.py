@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("instants",)
+MODULES = ("instants", "structured", "graph", "exports")
 
 
 def _modules():
