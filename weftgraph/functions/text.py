@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 LEADING_WORDS = ("the", "a", "an", "this", "that", "these", "those", "we", "you", "they", "it", "he", "she", "but", "and", "or", "so", "then", "if", "when", "while", "as", "in", "on", "at", "for", "to", "of")
 #: A compact default; pass another set where the corpus needs one.
 STOPWORDS = ("the", "and", "for", "that", "with", "was", "were", "are", "has", "had", "have", "not", "but", "you", "our", "its", "his", "her", "they", "this", "from", "say", "who", "why", "did", "when", "one", "two", "der", "die", "das", "und", "den", "von", "mit", "que", "los", "las", "por", "les", "des", "une", "est")
-PROPER_NOUN = r"\b[A-Z][A-Za-z0-9'’]+(?:\s+[A-Z][A-Za-z0-9'’]+){1,3}\b"
+#: Word boundaries are those of ASCII words, whatever the regex engine thinks of accents.
+PROPER_NOUN = r"(?<!\w)[A-Z][A-Za-z0-9'’]+(?:\s+[A-Z][A-Za-z0-9'’]+){1,3}(?:(?<=\w)(?!\w)|(?<=\W)(?=\w))"
 WORD = r"[a-z0-9](?:[a-z0-9'’_-]*[a-z0-9])?"
 # Opposite words, whole-word and substring lists.
 ANTONYMS = (
