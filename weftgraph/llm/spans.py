@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,47 +28,47 @@ from weftgraph.session import Scratch
 PAIRED = 32
 
 
-def _class(text: Column) -> Column:
-    """Equal texts and no others: two 64-bit hashes of the text, as one key."""
-    return F.concat_ws(".", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit("second"), text)))
+def text_members(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts long enough with their class k, a 64-bit hash of the text: (doc_id, k, k2, text); and members without text.
 
-
-def text_classes(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, k) of documents long enough, k the least id of the documents of the same text; and (k, text)."""
+    ``k2``, a second hash, keeps members apart should two texts ever meet in k.
+    """
     long = documents.where((F.length("text") >= RUN) & F.col("doc_id").isNotNull())
-    keyed = long.select("doc_id", _class(F.col("text")).alias("h")).distinct()
-    heads = keyed.groupBy("h").agg(F.min("doc_id").alias("k"))
-    members, _ = scratch.save(keyed.join(heads, "h").select("doc_id", "k"), "members")
-    return members, long
+    classed = long.select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64(F.lit("second"), "text").alias("k2"), "text")
+    return classed, classed.select("doc_id", "k", "k2").distinct()
 
 
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+        keys, texts = batch["k"].to_numpy(), batch["text"].tolist()
         for which, begin, end, digest in text_chunks(texts):
             # A chunk that a text repeats is kept at each place: what surrounds it may differ.
-            yield pd.DataFrame({"digest": digest, "doc_id": ids[which], "at": begin, "size": (end - begin).astype(np.int32)})
+            yield pd.DataFrame({"digest": digest, "k": keys[which], "at": begin, "size": (end - begin).astype(np.int32)})
 
 
-def shared_chunks(documents: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+def shared_chunks(classed: DataFrame, scratch: Scratch) -> DataFrame:
     """(digest, k, at, size, n): the chunks of more than one class, with the number of classes, once per class."""
-    copies = members.where("doc_id <> k").select("doc_id")
-    heads = documents.select("doc_id", "text").join(copies, "doc_id", "left_anti")
-    chunks, _ = scratch.save(heads.mapInPandas(_chunked, "digest long, doc_id long, at long, size int"), "chunks")
+    chunks, _ = scratch.save(classed.select("k", "text").mapInPandas(_chunked, "digest long, k long, at long, size int"), "chunks")
     # Least and greatest class differ: in more than one. Both are plain numbers, so the sums stay partial and small.
-    spread = chunks.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("digest")
-    found, _ = scratch.save(chunks.join(spread, "digest").select("digest", F.col("doc_id").alias("k"), "at", "size").distinct(), "shared")
+    spread = chunks.groupBy("digest").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("digest")
+    found, _ = scratch.save(chunks.join(spread, "digest").distinct(), "shared")
     scratch.drop("chunks")
     scratch.release()
     counts = found.groupBy("digest").agg(F.count_distinct("k").alias("n"))
     return found.join(counts, "digest")
 
 
-def with_context(shared: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """Shared chunks with the text around them: (digest, k, n, at, size, lead, around), ``lead`` characters before it."""
-    texts = documents.select(F.col("doc_id").alias("d"), "text")
+def with_context(shared: DataFrame, classed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Shared chunks with the text around them: (digest, k, n, at, size, lead, around), ``lead`` characters before it.
+
+    The texts are thinned out to the classes that share a chunk first; that table of keys is written, so the planner
+    knows its size and sends it to the texts if it is small, instead of moving the texts.
+    """
+    shared, _ = scratch.save(shared, "counted")
+    keys, _ = scratch.save(shared.select(F.col("k").alias("c")).distinct(), "keys")
+    texts = classed.select(F.col("k").alias("c"), "text").join(keys, "c", "left_semi")
     lead = F.least(F.col("at"), F.lit(RUN)).cast("int")
-    joined = texts.join(shared, texts["d"] == shared["k"])
+    joined = texts.join(shared, texts["c"] == shared["k"])
     around = F.substring(F.col("text"), (F.col("at") - lead + 1).cast("int"), lead + F.col("size") + RUN)
     return scratch.save(joined.select("digest", "k", "n", "at", "size", lead.alias("lead"), around.alias("around")).distinct(), "context")[0]
 
@@ -122,8 +122,8 @@ def _crowds(runs: DataFrame) -> DataFrame:
 
 def shared_runs(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members, class pairs (ka, kb) that share a run, and (k, begin, end) of what each class shares with others."""
-    members, long = text_classes(documents, scratch)
-    context = with_context(shared_chunks(long, members, scratch), long, scratch)
+    classed, members = text_members(documents)
+    context = with_context(shared_chunks(classed, scratch), classed, scratch)
     pairs, _ = scratch.save(_paired_runs(context), "pairs")
     crowded, _ = scratch.save(_crowded_runs(context), "crowded")
     kept = crowded.join(_crowds(crowded), ["w", "w2"]).select("w", "w2", "k").distinct()
@@ -143,9 +143,9 @@ def shared_runs(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
 def document_pairs(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b, of documents that share a run."""
     members, class_pairs, _ = shared_runs(documents, Scratch(documents.sparkSession, "spans"))
-    a, b = members.select(F.col("doc_id").alias("x"), F.col("k").alias("ka")), members.select(F.col("doc_id").alias("y"), F.col("k").alias("kb"))
+    a, b = members.select(F.col("doc_id").alias("x"), F.col("k").alias("ka"), F.col("k2").alias("ka2")), members.select(F.col("doc_id").alias("y"), F.col("k").alias("kb"), F.col("k2").alias("kb2"))
     between = class_pairs.join(a, "ka").join(b, "kb").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
-    within = a.join(b, F.col("ka") == F.col("kb")).where("x < y").select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"))
+    within = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("ka2") == F.col("kb2"))).where("x < y").select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"))
     return between.unionByName(within)
 
 
@@ -156,10 +156,10 @@ def shared_spans(documents: DataFrame) -> DataFrame:
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     marked = reach.withColumn("new", F.when(before >= F.col("begin"), 0).otherwise(1))
     spans = marked.withColumn("i", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy("k", "i").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    copied = members.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    copied = members.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "k2")
     lengths = documents.where(F.length("text") >= RUN).select("doc_id", F.length("text").cast("long").alias("len")).distinct()
-    partly = members.join(copied, "k", "left_anti").join(spans, "k").select("doc_id", "begin", "end")
-    wholly = members.join(copied, "k", "left_semi").join(lengths, "doc_id").select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("len").alias("end"))
+    partly = members.join(copied, ["k", "k2"], "left_anti").join(spans, "k").select("doc_id", "begin", "end")
+    wholly = members.join(copied, ["k", "k2"], "left_semi").join(lengths, "doc_id").select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("len").alias("end"))
     return partly.unionByName(wholly)
 
 
