@@ -71,7 +71,7 @@ def user_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of users from the event stream: what held from one event of a user to the next, with trust columns."""
     from pyspark.sql import Window as W
 
-    events = table(spark, sf_dir, "events", ("event_id", "ts", "user_id", "event_type", "value"))
+    events = table(spark, sf_dir, "events", ("event_id", "ts", "user_id", "event_type", "value")).withColumn("ts", F.col("ts").cast("timestamp"))
     of_user = W.partitionBy("user_id").orderBy("ts", "event_id")
     grounded = F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("boolean")).otherwise(F.col("value") >= 20)
     adapter = F.when(F.col("event_type") == "error", "cv-detector").when(F.col("event_type") == "view", "pdf:tesseract").otherwise("events")
