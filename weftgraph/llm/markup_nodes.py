@@ -61,6 +61,7 @@ def nodes(text: str) -> list[tuple[int, int, str, int, int]]:
     """(begin, end, kind, complete, named) of the candidates in order; opaque ones swallow what they contain."""
     out: list[tuple[int, int, str, int, int]] = []
     at, size = 0, len(text)
+    line, seen = 0, 0  # where the current line begins, how far newlines have been looked for
     for t in _TRIGGER.finditer(text):
         p = t.start()
         if p < at:
@@ -69,7 +70,9 @@ def nodes(text: str) -> list[tuple[int, int, str, int, int]]:
         while lead[:1] in " \t" and lead:
             p, lead = p + 1, lead[1:]
         c = lead[:1]
-        bol = p == 0 or text[p - 1] == "\n" or text[max(0, text.rfind("\n", 0, p) + 1) : p].strip(" \t") == ""
+        line = max(line, text.rfind("\n", seen, p) + 1)
+        seen = p
+        bol = p - line < 64 and not text[line:p].strip(" \t")
         hit: tuple[int, int, str, int, int] | None = None
         if c == "<":
             if m := _COMMENT.match(text, p):

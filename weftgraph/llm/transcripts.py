@@ -44,6 +44,8 @@ NOISE_WORDS = (
 # Words for a speaker.
 SPEAKER_WORDS = ("speaker", "spk", "sprecher", "sprecherin", "locuteur", "locutrice", "hablante", "orador", "interlocuteur")
 
+#: a label that begins a text stands within so many characters
+_LEAD = 64
 KINDS = ("timestamp", "filler", "sound", "inline_label")
 _FILLER, _PHRASE, _NOISE, _SPEAKER, _MARK = range(5)
 _MARKS = ("[", "(", "{", "<", "@", "-->", "|", "♪", ">>")
@@ -113,7 +115,7 @@ def _note_span(text: str, begin: int, end: int) -> tuple[int, int] | None:
 
 def _set_off(low: str, begin: int, end: int) -> bool:
     """Punctuation follows; a pair of dashes only counts with one before, else it opens another insertion."""
-    return bool(_SET_OFF.match(low, end) or (_DASHED.match(low, end) and low[:begin].rstrip().endswith(("--", "—"))))
+    return bool(_SET_OFF.match(low, end) or (_DASHED.match(low, end) and low[max(0, begin - 8) : begin].rstrip().endswith(("--", "—"))))
 
 
 def intervals(text: str) -> list[tuple[int, int, str]]:
@@ -128,7 +130,7 @@ def intervals(text: str) -> list[tuple[int, int, str]]:
             if mark in _BOXED:
                 if m := _BOXED[mark].match(text, begin):
                     out.append((begin, m.end(), "timestamp"))
-                elif mark in "[(" and label is None and not low[:begin].strip():
+                elif mark in "[(" and label is None and begin < _LEAD and not low[:begin].strip():
                     label = _LABEL.match(text)
             elif mark == "@":
                 if (begin == 0 or not text[begin - 1].isalnum()) and (m := _AT.match(text, begin)):
@@ -141,16 +143,16 @@ def intervals(text: str) -> list[tuple[int, int, str]]:
                     out.append((m.start(), end, "timestamp"))
             elif mark == "♪":
                 out.append((begin, end, "sound"))
-            elif label is None and not low[:begin].strip(" >"):
+            elif label is None and begin < _LEAD and not low[:begin].strip(" >"):
                 label = _LABEL.match(text)
         elif _inside_word(low, begin, end):
-            if what == _SPEAKER and label is None and not low[:begin].strip(" [("):
+            if what == _SPEAKER and label is None and begin < _LEAD and not low[:begin].strip(" [("):
                 label = _LABEL.match(text)
         elif what == _NOISE:
             if span := _note_span(text, begin, end):
                 out.append((*span, "sound"))
         elif what == _SPEAKER:
-            if label is None and not low[:begin].strip(" [("):
+            if label is None and begin < _LEAD and not low[:begin].strip(" [("):
                 label = _LABEL.match(text)
         elif not _hyphenated(low, begin, end) and (what == _FILLER or _set_off(low, begin, end)):
             out.append((begin, end, "filler"))
