@@ -61,7 +61,7 @@ def from_mcp(lines: DataFrame) -> DataFrame:
     """Relation lines back to (src, dst, relation_type); lines that do not parse are dropped."""
     parsed = F.from_json("line", "type string, `from` string, `to` string, relationType string")
     rows = lines.select(parsed.alias("r")).where("r.type = 'relation' AND r.`from` IS NOT NULL")
-    return rows.select(F.col("r.from").alias("src"), F.col("r.to").alias("dst"), F.filter(F.transform(F.split("r.relationType", ","), F.trim), lambda t: t != "").alias("relation_type"))
+    return rows.select(F.col("r.from").alias("src"), F.col("r.to").alias("dst"), F.filter(F.transform(F.split("r.relationType", ","), lambda t: F.trim(t)), lambda t: t != "").alias("relation_type"))
 
 
 def graphiti_nodes(entities: DataFrame, observations: DataFrame, relations: DataFrame, now: str) -> DataFrame:

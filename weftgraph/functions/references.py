@@ -22,7 +22,7 @@ def links(text: Column) -> Column:
     """Distinct targets of Markdown links (not images, not fragments), wiki links, HTML links and bare addresses."""
     md = F.filter(_all(text, MD_LINK, 1), lambda u: ~u.startswith("#"))
     bare = F.transform(_all(text, BARE_URL, 0), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
-    return F.array_distinct(F.concat(md, F.transform(_all(text, WIKI_LINK, 1), F.trim), _all(text, HREF, 1), bare))
+    return F.array_distinct(F.concat(md, F.transform(_all(text, WIKI_LINK, 1), lambda t: F.trim(t)), _all(text, HREF, 1), bare))
 
 
 def is_external(target: Column) -> Column:

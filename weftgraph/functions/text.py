@@ -75,7 +75,7 @@ def content_words(text: Column, min_length: int = 3, stopwords: tuple[str, ...]
 
 def sentences(text: Column) -> Column:
     """Split behind ``.``, ``!`` or ``?`` and at line ends; blank pieces are dropped."""
-    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|[\r\n]+"), F.trim)
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|[\r\n]+"), lambda t: F.trim(t))
     return F.filter(pieces, lambda p: p != "")
 
 

@@ -31,7 +31,7 @@ def chat_format(head: Column) -> Column:
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    return files.select("path", F.posexplode(F.split(F.coalesce("content", F.lit("")), r"\r\n|\r|\n")).alias("pos", "line"))
+    return files.select("path", F.posexplode(F.split(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+\z", ""), r"\r\n|\r|\n")).alias("pos", "line"))
 
 
 def _folded(lines: DataFrame, head: Column) -> DataFrame:

@@ -107,7 +107,7 @@ def latex_text(text: Column) -> Column:
 
 def latex_citations(text: Column) -> Column:
     keys = F.regexp_extract_all(text, F.lit(r"\\cite[tp]?\*?(?:\[[^\]]*\])*\{([^}]*)\}"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(keys, lambda k: F.split(k, ","))), F.trim), lambda k: k != ""))
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(keys, lambda k: F.split(k, ","))), lambda t: F.trim(t)), lambda k: k != ""))
 
 
 _NOTEBOOK = "metadata struct<kernelspec:struct<language:string>>, cells array<struct<cell_type:string, source:array<string>, outputs:array<struct<output_type:string, text:array<string>>>>>"
@@ -173,7 +173,7 @@ def dominant_array(text: Column) -> Column:
     fields = F.map_values(F.try_variant_get(doc, "$", "map<string,variant>"))
     arrays = F.filter(F.transform(fields, lambda v: F.try_variant_get(v, "$", "array<variant>")), lambda a: a.isNotNull())
     longest = F.reduce(arrays, F.array().cast("array<variant>"), lambda best, a: F.when(F.size(a) > F.size(best), a).otherwise(best))
-    return F.transform(F.coalesce(whole, longest), lambda v: F.to_json(v))
+    return F.transform(F.coalesce(whole, longest, F.array().cast("array<variant>")), lambda v: F.to_json(v))
 
 
 def directory_tree(paths: DataFrame) -> DataFrame:
