@@ -22,12 +22,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.lit(0.0)).otherwise(F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def softmax(scores: Column, temperature: float = 2.0) -> Column:
     """Of an array, with the maximum subtracted; a temperature of 0 or less means 1."""
     t = temperature if temperature > 0 else 1.0
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp((s - top) / t))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    raised = let(F.struct(scores.alias("s"), F.array_max(scores).alias("top")), lambda a: F.transform(a["s"], lambda s: F.exp((s - a["top"]) / t)))
+    summed = let(raised, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda s, y: s + y).alias("sum")))
+    return let(summed, lambda a: F.transform(a["e"], lambda x: x / a["sum"]))
 
 
 def jaccard(a: Column, b: Column) -> Column:

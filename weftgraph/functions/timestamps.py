@@ -17,6 +17,8 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.similarity import let
+
 # English month and weekday names, and the civil abbreviations that name one offset (minutes).
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
@@ -26,6 +28,8 @@ ZONE_MINUTES = {
     "jst": 540, "kst": 540, "aest": 600, "aedt": 660, "acst": 570, "acdt": 630, "awst": 480, "nzst": 720, "nzdt": 780, "npt": 345,
 }
 
+#: one parsed expression instead of hundreds of literals sent one by one
+_KNOWN_ZONES = ", ".join(f"'{z}'" for z in sorted(available_timezones()))
 _SEP = "\u0001"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:[   ]?([AaPp])\.?[Mm]\.?)?"
 _ZONE = r"(?: ?(?:GMT|UTC)?(Z|[+-]\d{2}(?::?\d{2})?|[A-Z]{2,5}))?(?: \([^()]*\))?"
@@ -91,11 +95,6 @@ def _offset_ms(utc_ms: Column, zone: Column) -> Column:
     return F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(utc_ms), zone)) - utc_ms
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _written(parts: Column, day_order: Column) -> Column:
     """Struct (ms, zone) of the split canonical stamp: the clock as written and the zone as written ('' for none)."""
     p = {name: F.get(parts, i + 1) for i, name in enumerate(_FIELDS)}
@@ -115,7 +114,7 @@ def _written(parts: Column, day_order: Column) -> Column:
         either = F.struct(_days(n["y"], n["d"], n["m"]).alias("dmy"), _days(n["y"], n["m"], n["d"]).alias("mdy"))
         alone = lambda e: F.when(e["dmy"].isNull() | e["mdy"].isNull() | (e["dmy"] == e["mdy"]), F.coalesce(e["dmy"], e["mdy"]))
         pick = lambda e: F.when(order == "dmy", e["dmy"]).when(order == "mdy", e["mdy"]).when(order == "ymd", ymd).when(order.isNull(), alone(e))
-        return _let(either, pick)
+        return let(either, pick)
 
     def yday(n: Column) -> Column:
         jan1, next1 = _days(n["y"], F.lit(1), F.lit(1)), _days(n["y"] + 1, F.lit(1), F.lit(1))
@@ -126,12 +125,12 @@ def _written(parts: Column, day_order: Column) -> Column:
         clock = F.when((n["mi"] <= 59) & (n["s"] <= 59), (hour * 60 + n["mi"]) * 60 + n["s"]).cast("long") * 1000 + n["f"]
         days = F.when(kind == "slash", slash(n)).when(kind == "yday", yday(n)).otherwise(_days(n["y"], n["month"], n["d"]))
         right = lambda d: F.when(n["w"].isNull() | (F.pmod(d + 3, F.lit(7)) + 1 == n["w"]), d.cast("long") * 86_400_000 + clock)
-        return _let(days, right)
+        return let(days, right)
 
     digits, whole = F.length(p["y"]), p["y"].try_cast("long")
     micros = (whole - F.pmod(whole, F.lit(1000))) / 1000
     unix = F.when(digits == 10, whole * 1000 + F.rpad(F.substring(p["f"], 1, 3), 3, "0").try_cast("int")).when(digits == 13, whole).when(digits == 16, micros.cast("long"))
-    return F.struct(F.when(kind == "unix", unix).otherwise(_let(numbers, civil)).alias("ms"), p["zone"].alias("zone"))
+    return F.struct(F.when(kind == "unix", unix).otherwise(let(numbers, civil)).alias("ms"), p["zone"].alias("zone"))
 
 
 def _resolved(local: Column, zone: Column) -> Column:
@@ -143,9 +142,9 @@ def _resolved(local: Column, zone: Column) -> Column:
         a, b = local - o["a"], local - o["b"]
         hold = F.struct((_offset_ms(a, zone) == o["a"]).alias("a"), (_offset_ms(b, zone) == o["b"]).alias("b"))
         one = lambda h: F.when(o["a"] == o["b"], F.when(h["a"], a)).when(h["a"] & ~h["b"], a).when(h["b"] & ~h["a"], b)
-        return _let(hold, one)
+        return let(hold, one)
 
-    return _let(offsets, pick)
+    return let(offsets, pick)
 
 
 def with_utc_ms(df: DataFrame, stamp: str, zone: str, day_order: str, out: str) -> DataFrame:
@@ -158,9 +157,11 @@ def with_utc_ms(df: DataFrame, stamp: str, zone: str, day_order: str, out: str)
 
     The value comes out of a generator, so that no filter above it is pushed into it and evaluates it again.
     """
-    known = F.when(F.col(zone).isin(*sorted(available_timezones())), F.col(zone))
-    instant = lambda w: F.when(w["zone"] == "", F.when(known.isNotNull() & w["ms"].isNotNull(), _resolved(w["ms"], known))).otherwise(w["ms"] - _zone_minutes(w["zone"]).cast("long") * 60_000)
-    value = _let(F.split(_canonical(F.col(stamp)), _SEP), lambda parts: F.when(F.size(parts) > 1, _let(_written(parts, F.col(day_order)), instant)))
+    known = F.expr(f"CASE WHEN `{zone}` IN ({_KNOWN_ZONES}) THEN `{zone}` END")
+    local = lambda k: F.when(k["z"].isNotNull() & k["ms"].isNotNull(), _resolved(k["ms"], k["z"]))
+    zoned = lambda w: w["ms"] - _zone_minutes(w["zone"]).cast("long") * 60_000
+    instant = lambda w: F.when(w["zone"] == "", let(F.struct(w["ms"].alias("ms"), known.alias("z")), local)).otherwise(zoned(w))
+    value = let(F.split(_canonical(F.col(stamp)), _SEP), lambda parts: F.when(F.size(parts) > 1, let(_written(parts, F.col(day_order)), instant)))
     return df.withColumn(out, F.explode(F.array(value)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.functions.similarity import softmax
+from weftgraph.functions.similarity import let, softmax
 
 #: class -> (pattern, weight); a compact default, replaced by passing another table
 CUES: dict[str, tuple[tuple[str, float], ...]] = {
@@ -29,10 +29,9 @@ def cue_scores(text: Column, cues: dict = CUES, penalty: float = 0.15) -> Column
     Every pattern is counted once; the penalty is taken from the total instead of from each other class.
     """
     own = [sum((F.log1p(F.regexp_count(text, F.lit(p)).cast("double")) * F.lit(w) for p, w in table), F.lit(0.0)) for table in cues.values()]
-    raw = F.transform(F.array(*own), lambda x: x)
-    total = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x)
-    named = F.arrays_zip(F.array(*map(F.lit, cues)).alias("class"), raw.alias("score"))
-    return F.get(F.transform(F.array(F.struct(named.alias("n"), total.alias("t"))), lambda a: F.transform(a["n"], lambda e: F.struct(e["class"].alias("class"), (e["score"] - (a["t"] - e["score"]) * penalty).alias("score")))), 0)
+    names = F.array(*map(F.lit, cues))
+    summed = let(F.array(*own), lambda r: F.struct(r.alias("r"), F.aggregate(r, F.lit(0.0), lambda s, x: s + x).alias("t")))
+    return let(summed, lambda a: F.zip_with(names, a["r"], lambda c, x: F.struct(c.alias("class"), (x - (a["t"] - x) * penalty).alias("score"))))
 
 
 def class_distribution(texts: DataFrame, key: str, text: str, temperature: float = 2.0, cues: dict = CUES) -> DataFrame:

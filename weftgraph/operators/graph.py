@@ -93,12 +93,14 @@ def bidirectional_pairs(relations: DataFrame) -> DataFrame:
 def health(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """One row of graph health: counts, self-loops, bidirectional pairs, dangling ends, integrity, parallel edges."""
     e = entities.agg(F.count(F.lit(1)).alias("entity_count"), F.count_distinct(F.nullif("entity_type", F.lit(""))).alias("entity_type_count"))
-    ends = F.struct("src", "dst", canonical_types(F.col("relation_type")).alias("t"))
-    r = relations.agg(F.count(F.lit(1)).alias("relation_count"), F.coalesce(F.sum((F.col("src") == F.col("dst")).cast("long")), F.lit(0)).alias("self_loop_count"))
-    distinct = relations.select(ends.alias("k")).distinct().agg(F.count(F.lit(1)).alias("distinct_edges"))
-    types = relations.select(F.explode("relation_type").alias("t")).where("t <> ''").agg(F.count_distinct("t").alias("relation_type_count"))
-    loose = dangling(relations, entities).agg(F.count(F.lit(1)).alias("dangling_endpoint_count"))
-    both = bidirectional_pairs(relations).agg(F.count(F.lit(1)).alias("bidirectional_pair_count"))
+    # Edges are counted per key once; everything below reads that much smaller table.
+    edges = relations.groupBy("src", "dst", "relation_type").agg(F.count(F.lit(1)).alias("n"))
+    many = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    r = edges.agg(many(F.lit(True)).alias("relation_count"), many(F.col("src") == F.col("dst")).alias("self_loop_count"))
+    distinct = edges.select("src", "dst", canonical_types(F.col("relation_type")).alias("t")).distinct().agg(F.count(F.lit(1)).alias("distinct_edges"))
+    types = edges.select(F.explode("relation_type").alias("t")).where("t <> ''").agg(F.count_distinct("t").alias("relation_type_count"))
+    loose = dangling(edges, entities).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("dangling_endpoint_count"))
+    both = bidirectional_pairs(edges).agg(F.count(F.lit(1)).alias("bidirectional_pair_count"))
     row = e.withColumns({
         "relation_count": r.select("relation_count").scalar(), "self_loop_count": r.select("self_loop_count").scalar(), "relation_type_count": types.scalar(),
         "dangling_endpoint_count": loose.scalar(), "bidirectional_pair_count": both.scalar(), "distinct_edges": distinct.scalar(),
