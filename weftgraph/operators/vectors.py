@@ -136,8 +136,8 @@ def grounding_triples(nearest: DataFrame, incident: DataFrame) -> DataFrame:
 
 
 def retrieval(entities: DataFrame, query: DataFrame, least: float = 0.3, limit: int = 10) -> DataFrame:
-    """Entities (id, vec, name) relevant to one-row ``query`` (vec, terms): by name terms or vectors, best score first."""
-    joined = entities.join(F.broadcast(query), F.lit(True))  # one row
+    """Entities (id, vec, name) relevant to one-row ``query`` (query_vec, terms): by name terms or vectors, best score first."""
+    joined = entities.withColumns({c: query.select(c).scalar() for c in ("query_vec", "terms")})
     by_name = F.exists("terms", lambda t: F.lower("name").contains(F.lower(t)))
     sim = cosine(F.col("vec"), F.col("query_vec"))
     score = F.greatest(F.when(by_name, F.lit(1.0)), F.when(sim > least, sim))
