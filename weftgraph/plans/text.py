@@ -115,3 +115,13 @@ SELECT term, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, term LIMIT 200""",
   CASE WHEN chunk_index % 2 <> 0 AND chunk_index % 3 = 0 THEN 't' ELSE '' END AS "table", CASE WHEN chunk_index % 2 <> 0 AND chunk_index % 3 = 0 THEN chunk_index::VARCHAR ELSE '' END AS key FROM (SELECT DISTINCT cp_key, chunk_index FROM checkpoints)""",
     "checkpoint_keys": "SELECT cp_key, sha1(concat_ws(' ', file_path, chunk_index::VARCHAR, model_id, prompt_version)) AS key FROM (SELECT DISTINCT cp_key, file_path, chunk_index, model_id, prompt_version FROM checkpoints)",
 }
+
+
+def reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and citations between Markdown files."""
+    from weftgraph.operators.links import reference_graph as build
+
+    return build(table(spark, sf_dir, "md_contents", ("file_path", "text")), "file_path", "text")
+
+
+QUERIES["reference_graph"] = reference_graph
