@@ -62,3 +62,15 @@ def test_rows(spark, shuffled):
     assert got == {("document", 1): "It was kept there.", ("markdown", 2): "", ("html", 3): "", ("html", 4): "plain prose"}
     assert found_markup(df.limit(0)).count() == 0
     assert found_markup(df.where("record_id = 5")).count() >= 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want", "clean"),
+    [
+        ("The fee is $20 and <b>rises</b> to $30 a year.", {"html"}, "The fee is $20 and rises to $30 a year."), ("**see <b>x</b>** there", {"markdown", "html"}, "see x there"), ("**see [[Link]]** there", {"markdown", "wiki"}, "see Link there"),
+        ("It was **open and then <b>bold</b> came.", {"markdown", "html"}, "It was open and then bold came."), ("The `a <b>x</b>` call", {"markdown"}, "The `a <b>x</b>` call"), ("== The [[Name One|alias]] head ==\ntext", {"wiki"}, "## The alias head\ntext"),
+    ],
+)
+def test_nested_in_candidates(text, want, clean):
+    assert languages(text) == want
+    assert cleaned(text) == clean

@@ -15,6 +15,7 @@ without markup is returned as it is but for line ends.
 
 from __future__ import annotations
 
+import heapq
 import html
 import random
 import re
@@ -27,13 +28,16 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.shipping import by_value
 from weftgraph.llm.boosting import BoostedTrees
-from weftgraph.llm.markup_nodes import KINDS, LANGUAGES, features, nodes
+from weftgraph.llm.markup_nodes import KINDS, LANGUAGES, SEALED, closing, features, nodes
 
 TRAINING_TEXTS, SEED = 2600, 20
 #: Parts of a structure and the kinds that must be accepted near them for the parts to count.
 _PART_OF = {"m_row": ("m_tablesep",), "w_row": ("w_table",), "w_header": ("w_table",), "w_field": ("w_table", "w_template")}
 
 
+_EMPHASIS = frozenset(("m_strong", "m_em", "m_em_", "m_under", "m_strike", "w_bold", "w_italic"))
+
+
 def _word(r: random.Random) -> str:
     return "".join(r.choice(("ba", "ri", "to", "len", "mus", "ka", "ver", "do", "sil", "pe", "nor", "gu", "ta", "zem", "lo", "é", "ü")) for _ in range(r.randint(1, 3)))
 
@@ -185,19 +189,29 @@ def model() -> BoostedTrees:
     return _fitted[0]
 
 
-def decode(found: list[tuple[int, int, str, int, int]], margin: np.ndarray) -> list[int]:
-    """Indices of the accepted nodes: likely ones, none inside accepted code or formulas, parts only with their whole."""
+def decode(text: str, found: list[tuple[int, int, str, int, int]], margin: np.ndarray) -> list[int]:
+    """Indices of the accepted nodes: likely ones, none inside accepted code or formulas, parts only with their whole.
+
+    The closing mark of an accepted emphasis opens nothing.
+    """
     accepted: list[int] = []
     wholes: set[str] = set()
     opaque = -1
+    closed: list[tuple[int, int]] = []
     for i, (begin, end, kind, _, _) in enumerate(found):
         if margin[i] <= 0 or begin < opaque:
             continue
+        while closed and closed[0][1] <= begin:
+            heapq.heappop(closed)
+        if closed and closed[0][0] <= begin:
+            continue
         accepted.append(i)
         if kind not in _PART_OF:
             wholes.add(kind)
-        if KINDS[kind][1]:
+        if KINDS[kind][1] or kind in SEALED:
             opaque = max(opaque, end)
+        elif kind in _EMPHASIS and (close := closing(text, found[i])) < end:
+            heapq.heappush(closed, (close, end))
     return [i for i in accepted if found[i][2] not in _PART_OF or any(w in wholes for w in _PART_OF[found[i][2]])]
 
 
@@ -214,8 +228,8 @@ def decoded(trees: BoostedTrees, texts: list[str]) -> Iterator[tuple[list, list[
     rows = [features(t, f) for t, f in zip(texts, parsed) if f]
     margin = _margins(trees, np.concatenate(rows)) if rows else np.zeros(0)
     at = 0
-    for f in parsed:
-        yield f, decode(f, margin[at : at + len(f)])
+    for t, f in zip(texts, parsed):
+        yield f, decode(t, f, margin[at : at + len(f)])
         at += len(f)
 
 
@@ -229,6 +243,7 @@ def languages_mask(trees: BoostedTrees, texts: list[str]) -> list[int]:
     return out
 
 
+_FILED = re.compile(r"(?i)\[\[(category|kategorie|catégorie|categoría|file|datei|fichier|archivo):")
 _ATTRIBUTES = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{?")
 _BLANKS, _TRAIL = re.compile(r"\n{3,}"), re.compile(r"[ \t]+(?=\n|$)")
 
@@ -256,18 +271,10 @@ def _rendered(text: str, node: tuple[int, int, str, int, int]) -> tuple[int, str
         return e, inner
     if kind == "l_verbatim":
         return e, "```\n" + re.sub(r"\\(?:begin|end)\{[a-z*]+\}", "", inner).strip("\n") + "\n```" if "verbatim" in inner[:20] or "listing" in inner[:20] else "$$" + re.sub(r"\\(?:begin|end)\{[a-z*]+\}|\\label\{[^}]*\}", "", inner).strip() + "$$"
-    if kind in ("m_strong", "m_em", "m_em_", "m_under", "m_strike", "w_bold", "w_italic"):
-        return e, inner.strip("*_~'")
-    if kind in ("m_link", "m_reflink", "m_image"):
-        return e, inner[inner.find("[") + 1 : inner.find("]")]
-    if kind == "w_link":
-        body = inner.strip("[]")
-        return e, "" if re.match(r"(?i)(category|kategorie|catégorie|categoría|file|datei|fichier|archivo):", body) else body.rpartition("|")[2]
+    if kind == "w_link" and _FILED.match(inner):
+        return e, ""
     if kind == "w_template":
         return e if inner.endswith("}}") else b + 2, ""
-    if kind == "w_heading":
-        level = len(inner) - len(inner.lstrip("="))
-        return e, "#" * level + " " + inner.strip("= \t\r")
     if kind == "w_table":
         return e, ""
     if kind in ("w_header", "w_field", "m_row"):
@@ -285,16 +292,39 @@ def _rendered(text: str, node: tuple[int, int, str, int, int]) -> tuple[int, str
     return (b + 2, "") if kind in ("m_quote",) else (e, inner)
 
 
+def _edits(text: str, node: tuple[int, int, str, int, int]) -> list[tuple[int, int, str]]:
+    """What to write for which marks of a node: (begin, end, written). What stands between two marks is left to its own nodes."""
+    b, e, kind, _, _ = node
+    inner = text[b:e]
+    if kind in _EMPHASIS:
+        close = closing(text, node)
+        k = b
+        while k < close and text[k] in "*_~'":
+            k += 1
+        return [(b, k, ""), (close, e, "")] if close < e else [(b, k, "")]
+    if kind in ("m_link", "m_reflink", "m_image"):
+        return [(b, b + inner.find("[") + 1, ""), (b + inner.find("]"), e, "")]
+    if kind == "w_link" and not _FILED.match(inner):
+        close = e - 2 if inner.endswith("]]") else e
+        opening = max(b + 2, b + inner.rfind("|", 0, close - b) + 1)
+        return [(b, opening, ""), (close, e, "")]
+    if kind == "w_heading":
+        title = inner.strip("= \t\r")
+        begin = b + inner.find(title)
+        return [(b, begin, "#" * (len(inner) - len(inner.lstrip("="))) + " "), (begin + len(title), e, "")]
+    at, written = _rendered(text, node)
+    return [(b, at, written)]
+
+
 def clean_markup(text: str, found: list, keep: list[int]) -> str:
     """The text without the marks of its accepted nodes; headings, lists, code and formulas stay as such."""
     out, at, braces = [], 0, False
-    for i in keep:
-        b = found[i][0]
+    for b, e, written, kind in sorted((*edit, found[i][2]) for i in keep for edit in _edits(text, found[i])):
         if b < at:
             continue
         out.append(text[at:b])
-        at, written = _rendered(text, found[i])
-        braces = braces or found[i][2] == "l_command"
+        at = e
+        braces = braces or kind == "l_command"
         out.append(written)
     out.append(text[at:])
     joined = "".join(out).replace("\r\n", "\n")

@@ -1,13 +1,14 @@
 """Candidate markup of a text as a tree of nodes, and the features of each node (problem 2).
 
 A tolerant parser: wherever a character could begin markup of one of four languages, the construct that fits best there
-becomes a node, whether or not it is one. Nodes contain each other by position; code, comments, formulas and verbatim
-environments are opaque. What a node really is, is for the trees to say.
+becomes a node, whether or not it is one, and so does what stands inside it. Nodes contain each other by position; code,
+comments, formulas and verbatim environments are opaque once accepted. What a node really is, is for the trees to say.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 
 import numpy as np
 
@@ -18,6 +19,8 @@ LANGUAGES = ("html", "markdown", "wiki", "latex")
 TAGS = frozenset("a abbr article aside audio b base blockquote body br button canvas caption center cite code col colgroup dd del details div dl dt em embed fieldset figcaption figure font footer form frame h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main mark math meta nav noscript object ol option p param picture pre progress q s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr".split())
 COMMANDS = frozenset("author begin bf bibitem bibliography bibliographystyle caption cdot centering chapter cite citep citet clearpage date documentclass em emph end eqref footnote frac geq hline href hspace include includegraphics int it item label leq ldots left maketitle mathbb mathbf mathcal mathrm newcommand newline newpage noindent page pageref paragraph par part prod qquad quad ref renewcommand right section sqrt subparagraph subsection subsubsection sum table tableofcontents textbf textit textsc texttt text textwidth times title toprule midrule bottomrule underline url usepackage vspace alpha beta gamma delta epsilon lambda mu pi sigma theta omega infty partial approx neq to".split())
 
+# Kinds whose whole extent is mark: what begins inside an accepted one is no markup of its own.
+SEALED = frozenset(("h_tag", "h_escaped", "m_refdef"))
 # kind: language, opaque
 KINDS = {
     "h_comment": (0, True), "h_tag": (0, False), "h_broken": (0, False), "h_entity": (0, False), "h_escaped": (0, False), "h_angle": (0, False),
@@ -58,7 +61,7 @@ def _named(m: re.Match | None) -> str:
 
 
 def nodes(text: str) -> list[tuple[int, int, str, int, int]]:
-    """(begin, end, kind, complete, named) of the candidates in order; opaque ones swallow what they contain."""
+    """(begin, end, kind, complete, named) of the candidates in order, those inside others too: which of them count is for decode()."""
     out: list[tuple[int, int, str, int, int]] = []
     at, size = 0, len(text)
     line, seen = 0, 0  # where the current line begins, how far newlines have been looked for
@@ -211,13 +214,33 @@ def nodes(text: str) -> list[tuple[int, int, str, int, int]]:
             hit = (p, m.end(), "m_item", 1, 0)
         if hit:
             out.append(hit)
-            kind = hit[2]
-            at = hit[1] if KINDS[kind][1] or kind in ("h_tag", "h_escaped", "m_image", "m_tablesep", "m_foot", "m_refdef", "w_redirect", "w_row") else p + (2 if kind in ("w_link", "w_template", "w_linkend", "w_end", "m_strike", "m_under") else 3 if kind == "w_bold" else len(hit) and max(1, min(hit[1] - p, 1)))
-            if kind in ("m_strong", "m_em", "m_strike", "w_bold", "w_italic", "m_em_", "m_under", "w_magic", "w_heading", "m_setext", "m_hash", "m_heading", "w_table"):
-                at = hit[1]
+            at = p + _opening(text, hit)
     return out
 
 
+def _opening(text: str, node: tuple[int, int, str, int, int]) -> int:
+    """How many characters the opening mark of a candidate takes; candidates may begin right behind it."""
+    b, e, kind, _, _ = node
+    if kind in ("m_strong", "w_heading", "m_fence"):
+        k = b
+        while k < e and text[k] == text[b]:
+            k += 1
+        return min(k - b, 3) if kind == "m_strong" else k - b
+    if kind in ("m_heading", "m_hash", "m_setext", "w_magic", "m_tablesep", "w_row"):
+        return e - b
+    if kind == "l_display":
+        return 2
+    return {"h_comment": 4, "w_bold": 3}.get(kind, 2 if kind in ("w_link", "w_template", "w_linkend", "w_end", "m_strike", "m_under", "w_italic", "w_table", "m_image", "l_inline") else 1)
+
+
+def closing(text: str, node: tuple[int, int, str, int, int]) -> int:
+    """Where the closing mark of a complete emphasis begins; the node's end if it has none."""
+    b, e, kind, _, _ = node
+    if kind == "m_strong":
+        return e - min(3, len(text[b:e]) - len(text[b:e].rstrip("*")))
+    return e - {"m_em": 1, "m_em_": 1, "m_under": 2}.get(kind, 0) - (2 if kind == "m_strike" and text[e - 2 : e] == "~~" else 3 if kind == "w_bold" and text[e - 3 : e] == "'''" else 2 if kind == "w_italic" and text[e - 2 : e] == "''" else 0)
+
+
 def _fence(text: str, p: int, m: re.Match) -> tuple[int, int, str, int, int]:
     close = text.find("\n" + m.group(1), m.end() - 1)
     end = close + 1 + len(m.group(1)) if close >= 0 else m.end()
@@ -262,27 +285,28 @@ def features(text: str, found: list[tuple[int, int, str, int, int]]) -> np.ndarr
     for _, _, kind, _, _ in found:
         same[kind] = same.get(kind, 0) + 1
         kin[KINDS[kind][0]] += 1
-    open_ends: list[int] = []
+    where = {mark: [m.start() for m in re.finditer(mark, text)] for mark in ("=", '"', "://", " ")}
+    count = lambda mark, b, e: bisect_left(where[mark], e) - bisect_left(where[mark], b)
+    open_ends: list[int] = []  # negated, the next end last
     last_end = [-(1 << 30)] * 4
     for i, (b, e, kind, complete, named) in enumerate(found):
-        while open_ends and open_ends[-1] <= b:
+        while open_ends and -open_ends[-1] <= b:
             open_ends.pop()
         language = KINDS[kind][0]
-        inner = text[b:e]
+        inner = text[b : min(e, b + 64)]
         size = e - b
-        words = inner.count(" ") + 1
-        digits = sum(map(str.isdigit, inner[:64]))
+        words = count(" ", b, e) + 1
+        digits = sum(map(str.isdigit, inner))
         near = b - last_end[language]
-        marks = sum(not (ch.isalnum() or ch.isspace()) for ch in inner[:64])
+        marks = sum(not (ch.isalnum() or ch.isspace()) for ch in inner)
         x[i] = (
             KIND_NO[kind], _class(text[b - 1] if b else ""), _class(text[e] if e < len(text) else ""), complete, named, min(15, size.bit_length()),
-            min(7, inner.count("=") + inner.count('"') // 2 + inner.count("://")), min(7, words), min(7, digits), min(7, len(open_ends)), min(7, same[kind]),
+            min(7, count("=", b, e) + count('"', b, e) // 2 + count("://", b, e - 2)), min(7, words), min(7, digits), min(7, len(open_ends)), min(7, same[kind]),
             min(15, kin[language]), min(7, 8 * marks // max(1, min(64, size))), 0 if near < 3 else 1 if near < 40 else 2 if near < 400 else 3,
             min(7, min(same[kind], 8) * 8 // max(1, len(found))), _class(text[b + 1] if b + 1 < len(text) else ""),
         )
         last_end[language] = e
-        open_ends.append(e)
-        open_ends.sort(reverse=True)
+        insort(open_ends, -e)
     return x
 
 
