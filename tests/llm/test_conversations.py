@@ -49,3 +49,23 @@ def test_offsets_reduce_violations(spark):
     df = spark.createDataFrame(rows, "conv_id string, message_id long, reply_to_id long, sender string, utc_ms long")
     o = {r.sender: r.offset_ms for r in clock_offsets(df).collect()}
     assert 3000 < o["b"] - o["a"] <= 4003
+
+
+def test_offsets_of_a_chain_of_senders_converge(spark):
+    rows = [("c", i, i - 1 if i else None, f"s{i}", 1000 * i - 10_000 * i) for i in range(10)]
+    df = spark.createDataFrame(rows, "conv_id string, message_id long, reply_to_id long, sender string, utc_ms long")
+    o = {r.sender: r.offset_ms for r in clock_offsets(df).collect()}
+    assert all(abs(o[f"s{i}"] - o[f"s{i - 1}"] - 9001) <= 1 for i in range(1, 10))
+
+
+def test_constraints_that_a_fit_violates_are_counted(spark):
+    rows = [("c", 1, None, "a", 10_000), ("c", 2, 1, "b", 0), ("c", 3, None, "b", 20_000), ("c", 4, 3, "a", 22_000)]
+    df = spark.createDataFrame(rows, "conv_id string, message_id long, reply_to_id long, sender string, utc_ms long")
+    o = {r.sender: r.offset_ms for r in clock_offsets(df).collect()}
+    assert abs(o["b"] - o["a"] - 6000) <= 1  # midway between what the late reply and the one that was in time ask for
+
+
+def test_no_reply_before_its_message(spark):
+    rows = [message(1, "c", 1, None, "u1", "q1", t=100), message(2, "c", 2, 1, "u2", "a1", t=99), message(3, "c", 3, None, "u1", "q2", t=110), message(4, "c", 4, 3, "u2", "a2", t=101), message(5, "c", 5, 4, "u2", "a3", t=90), message(6, "c", 6, 5, "u2", "a4", t=91)]
+    got = {r.message_id: r for r in rebuild(*[frames(spark, rows)[i] for i in (0, 2, 1)]).collect()}
+    assert all(got[i].turn_no > got[j].turn_no and got[i].corrected_ms >= got[j].corrected_ms for i, j in ((2, 1), (4, 3), (5, 4), (6, 5)))

@@ -3,7 +3,8 @@
 Every reply is a constraint: the message it names must exist in the conversation and come before it. A constraint whose
 message is missing, is the reply itself or was numbered later cannot be met, and its conversation is rejected. In the
 others the senders' clock offsets are estimated by least squares over the reply constraints that the written times
-violate, the times corrected, and the turns merged into one order.
+violate, until no further one is violated, the times corrected, replies that are still early moved to what they answer,
+and the turns merged into one order.
 
 Defined results: rows repeated by row_id count once; rows without conv_id belong to no conversation; a row speaks if its
 type is ``message`` and its text, pieces joined, has a visible character (white space, controls, format characters such
@@ -13,14 +14,17 @@ time a message keeps its place by number.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.shipping import by_value
 from weftgraph.operators.instants import message_stamp, with_instants
 from weftgraph.operators.ranks import ordered_rank
 from weftgraph.session import cut
 
-SWEEPS, MIN_GAP_MS = 6, 1
+MIN_GAP_MS = 1
 
 
 def joined_text(text: Column) -> Column:
@@ -71,28 +75,86 @@ def conversation_states(messages: DataFrame, participants: DataFrame) -> DataFra
     return joined.select("conv_id", fault.alias("fault"))
 
 
-def clock_offsets(timed: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+def _fitted(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Offsets of one conversation's senders, and which of its pairs the fit leaves with constraints not yet counted.
+
+    Conjugate gradients on the normal equations, scaled by each sender's weight, run to the end: at most as many steps as
+    there are senders, but for rounding.
+    """
+    n = len(pairs)
+    names, index = np.unique(np.concatenate([pairs["s"].to_numpy(object), pairs["r"].to_numpy(object)]), return_inverse=True)
+    i, j, w, d = index[:n], index[n:], pairs["w"].to_numpy(float), pairs["d"].fillna(0.0).to_numpy(float)
+    total = lambda at, x: np.bincount(at, x, len(names))
+    weight = np.maximum(total(i, w) + total(j, w), 1e-9)
+    o, left = np.zeros(len(names)), total(i, w * d) - total(j, w * d)
+    least, step, size = 1e-9 * np.abs(left).max(), left / weight, left @ (left / weight)
+    for _ in range(10 * len(names) + 100):
+        if np.abs(left).max() <= least:
+            break
+        pull = total(i, w * (step[i] - step[j])) - total(j, w * (step[i] - step[j]))
+        if not step @ pull > 0:  # nothing but rounding is left
+            break
+        k = size / (step @ pull)
+        o, left = o + k * step, left - k * pull
+        size, before = left @ (left / weight), size
+        step = left / weight + size / before * step
+    apart = o[i] - o[j]
+    again = bool((pairs["rest"].fillna(-np.inf).to_numpy(float) > apart + 0.5).any())
+    held = pd.DataFrame({"s": pairs["s"].to_numpy(object), "r": pairs["r"].to_numpy(object), "o": np.minimum(pairs["f"].to_numpy(float), apart)})
+    out = pd.concat([held, pd.DataFrame({"s": names, "r": None, "o": o})]).assign(conv_id=pairs["conv_id"].iloc[0], again=again)
+    return out[["conv_id", "s", "r", "o", "again"]]
+
+
+def clock_offsets(timed: DataFrame) -> DataFrame:
     """(conv_id, sender, offset_ms) by least squares over the violated reply constraints.
 
     Every reply says t_reply + o_reply >= t_message + o_message + 1 ms. The violated ones are summed per pair of
-    senders first (weight and mean violation), then damped Jacobi sweeps of the normal equations run over those pairs:
-    each sender moves half the way to the weighted mean that its partners ask for. A sweep is one join and one
-    aggregation over sender pairs; no conversation is gathered anywhere.
+    senders (weight and mean violation) and the normal equations of a conversation's pairs solved. Constraints that
+    the offsets violate for the first time join the others, and the conversation is fitted again until none is new.
+    Only sender pairs of a conversation meet in a task, never its messages.
     """
     a = timed.select("conv_id", "reply_to_id", F.col("sender").alias("s"), F.col("utc_ms").alias("t")).where("reply_to_id IS NOT NULL AND t IS NOT NULL")
     b = timed.select(F.col("conv_id").alias("c"), F.col("message_id").alias("m"), F.col("sender").alias("r"), F.col("utc_ms").alias("u")).where("u IS NOT NULL")
-    late = a.join(b, (F.col("conv_id") == F.col("c")) & (F.col("reply_to_id") == F.col("m"))).where((F.col("s") != F.col("r")) & (F.col("u") + MIN_GAP_MS > F.col("t")))
-    want = (F.col("u") - F.col("t") + MIN_GAP_MS).cast("double")
-    half = late.select("conv_id", "s", "r", want.alias("d")).unionByName(late.select("conv_id", F.col("r").alias("s"), F.col("s").alias("r"), (-want).alias("d")))
-    sums = half.groupBy("conv_id", "s", "r").agg(F.count(F.lit(1)).cast("double").alias("w"), F.avg("d").alias("d"))
-    own = half.groupBy("conv_id", "s").agg(F.count(F.lit(1)).cast("double").alias("w")).select("conv_id", "s", F.col("s").alias("r"), "w", F.lit(0.0).alias("d"))
-    pairs = cut(sums.unionByName(own))  # the row of a sender with itself is the damping
-    offsets = pairs.select("conv_id", "s").distinct().withColumn("o", F.lit(0.0))
-    for _ in range(sweeps):
-        other = offsets.select(F.col("conv_id").alias("c"), F.col("s").alias("q"), F.col("o").alias("p"))
-        asked = pairs.join(other, (pairs["conv_id"] == F.col("c")) & (pairs["r"] == F.col("q")))
-        offsets = asked.groupBy("conv_id", "s").agg((F.sum(F.col("w") * (F.col("d") + F.col("p"))) / F.sum("w")).alias("o"))
-    return offsets.select("conv_id", F.col("s").alias("sender"), F.round("o").cast("long").alias("offset_ms"))
+    met = a.join(b, (F.col("conv_id") == F.col("c")) & (F.col("reply_to_id") == F.col("m"))).where(F.col("s") != F.col("r"))
+    wants = cut(met.select("conv_id", "s", "r", (F.col("u") - F.col("t") + MIN_GAP_MS).cast("double").alias("want")))
+    wants = wants.join(wants.where("want > 0").select("conv_id").distinct(), "conv_id", "left_semi").withColumn("f", F.lit(0.0))
+    done = None
+    while True:
+        # A constraint counts once any fit so far has violated it: f is the least distance of the pair's offsets seen.
+        late = F.col("want") > F.col("f")
+        pairs = wants.groupBy("conv_id", "s", "r").agg(F.count(F.when(late, 1)).cast("double").alias("w"), F.avg(F.when(late, F.col("want"))).alias("d"), F.max(F.when(~late, F.col("want"))).alias("rest"), F.min("f").alias("f"))
+        fitted = cut(pairs.groupBy("conv_id").applyInPandas(lambda g: _fitted(g), "conv_id string, s string, r string, o double, again boolean"))
+        settled = fitted.where("r IS NULL AND NOT again")
+        done = settled if done is None else done.unionByName(settled)
+        if fitted.where("again").isEmpty():
+            break
+        floors = fitted.where("again AND r IS NOT NULL").select("conv_id", "s", "r", F.col("o").alias("f"))
+        wants = cut(wants.drop("f").join(floors, ["conv_id", "s", "r"]))
+    return done.select("conv_id", F.col("s").alias("sender"), F.round("o").cast("long").alias("offset_ms"))
+
+
+def in_reply_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``corrected_ms`` raised where no offsets could meet a reply: to the latest of what it answers.
+
+    What a message answers, directly or through others, is found by doubling: every round looks twice as far back.
+    Only conversations with such a reply take part.
+    """
+    values = rows.where("message_id IS NOT NULL").groupBy("conv_id", F.col("message_id").alias("n")).agg(F.max("corrected_ms").alias("v"))
+    above = values.select(F.col("conv_id").alias("c"), F.col("n").alias("m"), "v")
+    replies = rows.where("reply_to_id IS NOT NULL").select("conv_id", F.col("message_id").alias("n"), F.col("reply_to_id").alias("a"), "corrected_ms")
+    early = cut(replies.join(above, (F.col("conv_id") == F.col("c")) & (F.col("a") == F.col("m"))).where("v > corrected_ms").select("conv_id").distinct())
+    if early.isEmpty():
+        return rows
+    values = cut(values.join(early, "conv_id", "left_semi"))
+    edges = cut(replies.join(early, "conv_id", "left_semi").select("conv_id", "n", "a").distinct())
+    while not edges.isEmpty():
+        above = values.select("conv_id", F.col("n").alias("a"), F.col("v").alias("u"))
+        raised = edges.join(above, ["conv_id", "a"]).groupBy("conv_id", "n").agg(F.max("u").alias("u"))
+        values = cut(values.join(raised, ["conv_id", "n"], "left").select("conv_id", "n", F.greatest("v", "u").alias("v")))
+        edges = cut(edges.join(edges.select("conv_id", F.col("n").alias("a"), F.col("a").alias("b")), ["conv_id", "a"]).select("conv_id", "n", F.col("b").alias("a")).distinct())
+    above = values.select(F.col("conv_id").alias("__c"), F.col("n").alias("__n"), F.col("v").alias("__v"))
+    joined = rows.join(above, (rows["conv_id"] == F.col("__c")) & (rows["reply_to_id"] == F.col("__n")), "left")
+    return joined.withColumn("corrected_ms", F.greatest("corrected_ms", "__v")).drop("__c", "__n", "__v")
 
 
 def rebuild(messages: DataFrame, exports: DataFrame, participants: DataFrame) -> DataFrame:
@@ -105,11 +167,13 @@ def rebuild(messages: DataFrame, exports: DataFrame, participants: DataFrame) ->
     base = cut(roles)
     offsets = clock_offsets(base).select(F.col("conv_id").alias("__c"), F.col("sender").alias("__s"), "offset_ms")
     moved = base.join(offsets, (base["conv_id"] == F.col("__c")) & (base["sender"] == F.col("__s")), "left")
-    speaking = moved.where((F.col("msg_type") == "message") & visible(F.col("body")))
-    fixed = speaking.withColumn("corrected_ms", F.col("utc_ms") + F.coalesce("offset_ms", F.lit(0)))
+    corrected = cut(moved.withColumn("corrected_ms", F.coalesce(F.col("utc_ms") + F.coalesce("offset_ms", F.lit(0)), F.lit(0))).drop("__c", "__s"))
+    fixed = in_reply_order(corrected).where((F.col("msg_type") == "message") & visible(F.col("body")))
     role = F.when(F.col("duty") == "asker", "user").when(F.col("duty") == "helper", "assistant").when(F.col("duty") == "system", "system").otherwise("other")
     turns = fixed.select("conv_id", "row_id", "message_id", role.alias("role"), "sender", "utc_ms", "corrected_ms", F.col("body").alias("text"))
-    turns = turns.withColumn("corrected_ms", F.coalesce("corrected_ms", F.lit(0)))
     order = [F.col("corrected_ms"), F.col("message_id").asc_nulls_last(), F.col("row_id")]
     hour = F.floor(F.col("corrected_ms") / 3_600_000)  # monotone in the order: a long conversation is numbered by hours
     return ordered_rank(cut(turns), ["conv_id"], order, "turn_no", hour)
+
+
+by_value(__name__)
