@@ -69,3 +69,18 @@ def test_no_reply_before_its_message(spark):
     rows = [message(1, "c", 1, None, "u1", "q1", t=100), message(2, "c", 2, 1, "u2", "a1", t=99), message(3, "c", 3, None, "u1", "q2", t=110), message(4, "c", 4, 3, "u2", "a2", t=101), message(5, "c", 5, 4, "u2", "a3", t=90), message(6, "c", 6, 5, "u2", "a4", t=91)]
     got = {r.message_id: r for r in rebuild(*[frames(spark, rows)[i] for i in (0, 2, 1)]).collect()}
     assert all(got[i].turn_no > got[j].turn_no and got[i].corrected_ms >= got[j].corrected_ms for i, j in ((2, 1), (4, 3), (5, 4), (6, 5)))
+
+
+def test_timeless_messages_keep_their_place(spark):
+    timeless = lambda r: (*r[:8], "31.02.2023 10:00", None, *r[10:])
+    rows = [timeless(message(1, "c", 1)), message(2, "c", 2, None, "u2", "b", t=100), timeless(message(3, "c", 3)), message(4, "c", 5000, None, "u2", "d", t=200), timeless(message(5, "c", 9999, None, "u1", "e")), message(6, "c", 10_000, None, "u2", "f", t=300)]
+    got = rebuild(*[frames(spark, rows)[i] for i in (0, 2, 1)]).orderBy("turn_no").collect()
+    assert [r.row_id for r in got] == [1, 2, 3, 4, 5, 6]
+    base = 1_700_000_000_000
+    assert [r.corrected_ms - base for r in got] == [100_000, 100_000, 100_000, 200_000, 200_000, 300_000]
+
+
+def test_a_full_hour_is_numbered_in_slices(spark):
+    rows = [(*message(i, "c", i, None, "u1" if i % 2 else "u2")[:8], None, None, "x", "clash", None) for i in range(1, 5001)]
+    got = rebuild(*[frames(spark, rows)[i] for i in (0, 2, 1)]).orderBy("turn_no").collect()
+    assert [(r.turn_no, r.row_id) for r in got] == [(i, i) for i in range(1, 5001)]

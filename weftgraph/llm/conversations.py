@@ -9,7 +9,7 @@ and the turns merged into one order.
 Defined results: rows repeated by row_id count once; rows without conv_id belong to no conversation; a row speaks if its
 type is ``message`` and its text, pieces joined, has a visible character (white space, controls, format characters such
 as the zero-width space, and unassigned code points are not visible); an empty table gives no rows; without any usable
-time a message keeps its place by number.
+time a message keeps its place by number, next to the message numbered before it that has a time.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions.shipping import by_value
@@ -25,6 +26,8 @@ from weftgraph.operators.ranks import ordered_rank
 from weftgraph.session import cut
 
 MIN_GAP_MS = 1
+#: Message numbers of a block, and rows of an hour, beyond which a conversation is cut further.
+NUMBERS = 4096
 
 
 def joined_text(text: Column) -> Column:
@@ -133,6 +136,32 @@ def clock_offsets(timed: DataFrame) -> DataFrame:
     return done.select("conv_id", F.col("s").alias("sender"), F.round("o").cast("long").alias("offset_ms"))
 
 
+def _number_block() -> Column:
+    return F.coalesce(F.floor(F.col("message_id") / NUMBERS), F.lit((1 << 63) - 1))
+
+
+def with_neighbours_times(rows: DataFrame) -> DataFrame:
+    """``rows`` with null ``corrected_ms`` filled: the last known one before by message number, else the next, else 0.
+
+    Windows run within blocks of message numbers, and what a block lacks comes from the blocks around it.
+    """
+    gaps = cut(rows.where("corrected_ms IS NULL").select("conv_id").distinct())
+    if gaps.isEmpty():
+        return rows
+    some = rows.join(gaps, "conv_id", "left_semi").withColumn("__b", _number_block())
+    place, known = F.struct(F.coalesce("message_id", F.lit((1 << 63) - 1)), "row_id"), F.col("corrected_ms").isNotNull()
+    ends = some.groupBy("conv_id", "__b").agg(F.max_by("corrected_ms", F.when(known, place)).alias("l"), F.min_by("corrected_ms", F.when(known, place)).alias("f"))
+    seen = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    blocks = W.partitionBy("conv_id")
+    past = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    around = ends.select(F.col("conv_id").alias("__c"), F.col("__b").alias("__k"), past("l", blocks.orderBy("__b")).alias("__p"), past("f", blocks.orderBy(F.desc("__b"))).alias("__n"))
+    inside = W.partitionBy("conv_id", "__b")
+    near = some.withColumns({"__l": seen("corrected_ms", inside.orderBy(place)), "__f": seen("corrected_ms", inside.orderBy(place.desc()))})
+    joined = near.join(around, (near["conv_id"] == F.col("__c")) & (near["__b"] == F.col("__k")))
+    filled = joined.withColumn("corrected_ms", F.coalesce("corrected_ms", "__l", "__p", "__f", "__n", F.lit(0))).select(*rows.columns)
+    return rows.join(gaps, "conv_id", "left_anti").select(*rows.columns).unionByName(filled)
+
+
 def in_reply_order(rows: DataFrame) -> DataFrame:
     """``rows`` with ``corrected_ms`` raised where no offsets could meet a reply: to the latest of what it answers.
 
@@ -167,13 +196,18 @@ def rebuild(messages: DataFrame, exports: DataFrame, participants: DataFrame) ->
     base = cut(roles)
     offsets = clock_offsets(base).select(F.col("conv_id").alias("__c"), F.col("sender").alias("__s"), "offset_ms")
     moved = base.join(offsets, (base["conv_id"] == F.col("__c")) & (base["sender"] == F.col("__s")), "left")
-    corrected = cut(moved.withColumn("corrected_ms", F.coalesce(F.col("utc_ms") + F.coalesce("offset_ms", F.lit(0)), F.lit(0))).drop("__c", "__s"))
+    corrected = cut(with_neighbours_times(cut(moved.withColumn("corrected_ms", F.col("utc_ms") + F.coalesce("offset_ms", F.lit(0))).drop("__c", "__s"))))
     fixed = in_reply_order(corrected).where((F.col("msg_type") == "message") & visible(F.col("body")))
     role = F.when(F.col("duty") == "asker", "user").when(F.col("duty") == "helper", "assistant").when(F.col("duty") == "system", "system").otherwise("other")
     turns = fixed.select("conv_id", "row_id", "message_id", role.alias("role"), "sender", "utc_ms", "corrected_ms", F.col("body").alias("text"))
     order = [F.col("corrected_ms"), F.col("message_id").asc_nulls_last(), F.col("row_id")]
-    hour = F.floor(F.col("corrected_ms") / 3_600_000)  # monotone in the order: a long conversation is numbered by hours
-    return ordered_rank(cut(turns), ["conv_id"], order, "turn_no", hour)
+    placed = cut(turns.withColumn("__h", F.floor(F.col("corrected_ms") / 3_600_000)))
+    # Monotone in the order: a long conversation is numbered by hours, full hours by times and message numbers.
+    full = placed.groupBy("conv_id", "__h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NUMBERS).select(F.col("conv_id").alias("__c"), F.col("__h").alias("__f"))
+    marked = placed.join(full, (placed["conv_id"] == F.col("__c")) & (placed["__h"] == F.col("__f")), "left")
+    is_full = F.col("__f").isNotNull()
+    slices = F.struct("__h", F.when(is_full, F.col("corrected_ms")).alias("t"), F.when(is_full, _number_block()).alias("k"))
+    return ordered_rank(marked, ["conv_id"], order, "turn_no", slices).drop("__h", "__c", "__f")
 
 
 by_value(__name__)
