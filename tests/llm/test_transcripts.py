@@ -61,3 +61,20 @@ def test_slices_change_nothing(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     key = lambda d: sorted((r.turn_no, r.speaker, r.text) for r in d.collect())
     assert key(speaker_turns(df, 5)) == key(speaker_turns(df, 10_000))
+
+
+@pytest.mark.parametrize(
+    ("text", "want", "clean"),
+    [
+        ("we [inaudible 00:01:15] start", {"sound", "timestamp"}, "we start"), ("we [music, applause] start", {"sound"}, "we start"), ("we [audience breaks into loud applause] start", {"sound"}, "we start"), ("we (applause 12) start", {"sound"}, "we start"),
+        ("we [the very long note of all that could be heard in the old hall at that time, with music, 2 voices and more] start", {"sound"}, "we start"), ("we ((music, applause)) start", {"sound"}, "we start"), ("we < 5 [music, applause] start", {"sound"}, "we < 5 start"),
+        ("we (who all heard the music and left, see sheet 4282) start", set(), "we (who all heard the music and left, see sheet 4282) start"), ("[we start] the music, all of it [stops]", set(), "[we start] the music, all of it [stops]"),
+    ],
+)
+def test_whole_notes(text, want, clean):
+    assert kinds(text) == want
+    assert clean_text(text) == clean
+
+
+def test_many_open_brackets_around_noise():
+    assert kinds("music, 3 < ( " * 60_000 + "[music, applause]") == {"sound"}

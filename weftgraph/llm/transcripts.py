@@ -14,6 +14,7 @@ in row order; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import ahocorasick
 import pandas as pd
@@ -59,6 +60,11 @@ _BAR = re.compile(r"(?:\d+h)?\d+m\d{1,2}s\s*$")
 _NOTE_LEFT = re.compile(r"(?:[\[({<*♪]|(?<!\S)--?\s)[\[({<*♪\s]*(?:[^\W\d]+[ '_-]){0,3}$")
 _NOTE_RIGHT = re.compile(r"(?:[ '_-][^\W\d]+){0,3}[\])}>*♪\s]*(?:[\])}>*♪]|\s--?(?!\S))")
 _OPEN = {"[": "]", "(": ")", "{": "}", "<": ">", "*": "*", "♪": "♪", "-": "-"}
+_OPENS = {")": "(", "]": "[", "}": "{", ">": "<"}
+_BRACKET = re.compile(r"[\[\](){}<>]")
+_CLOCK_IN_NOTE = re.compile(rf"(?<![\w:.,]){_CLOCK}(?![\w:])")
+_NOTE = re.compile(rf"(?:{_CLOCK}|[^\W_]|[\s,'’_&/-])*")
+_NO_WORD = re.compile(rf"(?:{_CLOCK}|[\s,\d-])*")
 _LABEL = re.compile(
     rf"\s*(?:>>+(?:\s*(?:(?:{'|'.join(SPEAKER_WORDS)})[ _-]?)?\d{{1,3}}\s*:)?"
     rf"|[\[(]\s*(?:{'|'.join(SPEAKER_WORDS)}|s)[ _-]?\d{{1,3}}\s*[\])]\s*:?"
@@ -113,6 +119,48 @@ def _note_span(text: str, begin: int, end: int) -> tuple[int, int] | None:
     return None
 
 
+def _pairs(text: str) -> tuple[list[int], list[int], dict[int, int]]:
+    """Where brackets stand, the opening mark of the innermost closed pair behind each (-1: none), where pairs close."""
+    at, top, stack = [], [], []
+    waiting = dict.fromkeys("[({<", 0)
+    above, close = {-1: -1}, {}
+    for m in _BRACKET.finditer(text):
+        p, c = m.start(), m.group()
+        if c in waiting:
+            above[p] = stack[-1] if stack else -1
+            stack.append(p)
+            waiting[c] += 1
+        elif waiting[_OPENS[c]]:  # what was opened within the pair and never closed is none
+            while text[q := stack.pop()] != _OPENS[c]:
+                waiting[text[q]] -= 1
+            waiting[text[q]] -= 1
+            close[q] = p
+        at.append(p)
+        top.append(stack[-1] if stack else -1)
+    for q in above:  # from left to right, so that what is above is settled already
+        if q not in close and q >= 0:
+            above[q] = above[above[q]] if above[q] >= 0 and above[q] not in close else above[q]
+    return at, [q if q in close else above[q] for q in top], close
+
+
+def _boxed_note(text: str, begin: int, end: int, pairs: tuple[list[int], list[int], dict[int, int]]) -> tuple[int, int] | None:
+    """The brackets around a noise word, if their whole content can be a note: words, numbers, commas and clocks.
+
+    Round brackets hold prose too: a note in them begins or ends with the noise word, clocks aside.
+    """
+    at, top, close = pairs
+    k = bisect_right(at, begin) - 1
+    left = top[k] if k >= 0 else -1
+    if left < 0 or close[left] < end:
+        return None
+    right = close[left]
+    if not _NOTE.fullmatch(text, left + 1, right) or (text[left] == "(" and not (_NO_WORD.fullmatch(text, left + 1, begin) or _NO_WORD.fullmatch(text, end, right))):
+        return None
+    while left and text[left - 1] == text[left] and text[right + 1 : right + 2] == text[right]:
+        left, right = left - 1, right + 1
+    return left, right + 1
+
+
 def _set_off(low: str, begin: int, end: int) -> bool:
     """Punctuation follows; a pair of dashes only counts with one before, else it opens another insertion."""
     return bool(_SET_OFF.match(low, end) or (_DASHED.match(low, end) and low[max(0, begin - 8) : begin].rstrip().endswith(("--", "—"))))
@@ -121,7 +169,7 @@ def _set_off(low: str, begin: int, end: int) -> bool:
 def intervals(text: str) -> list[tuple[int, int, str]]:
     """The dirty intervals of a text as (begin, end, kind)."""
     low, out = _lowered(text), []
-    label = None
+    label = pairs = noted = None
     for last, (what, size) in automaton().iter(low):
         end = last + 1
         begin = end - size
@@ -151,6 +199,14 @@ def intervals(text: str) -> list[tuple[int, int, str]]:
         elif what == _NOISE:
             if span := _note_span(text, begin, end):
                 out.append((*span, "sound"))
+            else:
+                pairs = pairs or _pairs(text)
+                if span := _boxed_note(text, begin, end, pairs):
+                    if span != noted:  # a note may hold several noise words
+                        out.append((*span, "sound"))
+                        if _CLOCK_IN_NOTE.search(text, *span):
+                            out.append((*span, "timestamp"))
+                    noted = span
         elif what == _SPEAKER:
             if label is None and begin < _LEAD and not low[:begin].strip(" [("):
                 label = _LABEL.match(text)
