@@ -74,3 +74,29 @@ def test_rows(spark, shuffled):
 def test_nested_in_candidates(text, want, clean):
     assert languages(text) == want
     assert cleaned(text) == clean
+
+
+LONG_CODE = "\n".join(f"row_{i} = load('\\new', <tag>, \\frac{{a}}{{b}})" for i in range(400))
+LONG_MATHS = " + ".join(f"\\frac{{a_{i}}}{{b}}" for i in range(200))
+
+
+@pytest.mark.parametrize(
+    ("text", "inside"),
+    [(f"Text.\n\n\\begin{{lstlisting}}\n{LONG_CODE}\n\\end{{lstlisting}}\nMore.", LONG_CODE), (f"Text.\n\n$$ {LONG_MATHS} $$\nMore.", LONG_MATHS), (f"Text.\n\n\\[ {LONG_MATHS} \\]\nMore.", LONG_MATHS), (f"The ${LONG_MATHS}$ rows.", LONG_MATHS), (f"The \\({LONG_MATHS}\\) rows.", LONG_MATHS)],
+    ids=["listing", "dollars", "display", "dollar", "inline"],
+)
+def test_long_structures_stay_whole(text, inside):
+    assert languages(text) == {"latex"}
+    assert inside in cleaned(text)
+
+
+def test_long_comment_and_inline_code():
+    assert cleaned("Text <!-- " + "left out 12 " * 400 + "--> goes on.").split() == ["Text", "goes", "on."]
+    code = "`" + "call_me(1) " * 60 + "`"
+    assert languages(f"The {code} rows.") == {"markdown"}
+    assert code in cleaned(f"The {code} rows.")
+
+
+def test_unclosed_marks_are_linear():
+    for mark in ("<!-- x ", "\\[ x ", "$$$ x ", "\\begin{verbatim} ", "\\( x "):
+        assert len(languages(mark * 60_000)) <= 4

@@ -35,7 +35,7 @@ KIND_NO = {k: i for i, k in enumerate(KINDS)}
 LANGUAGE_OF = np.array([v[0] for v in KINDS.values()])
 
 _R = lambda p: re.compile(p)
-_COMMENT, _TAG, _BROKEN = _R(r"<!--(?s:.{0,2000}?)(?:-->|\Z)"), _R(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>\n]{0,400})?/?>"), _R(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s+[A-Za-z-]+=\S{0,80}|(?=\s*$))")
+_TAG, _BROKEN = _R(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>\n]{0,400})?/?>"), _R(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s+[A-Za-z-]+=\S{0,80}|(?=\s*$))")
 _ENTITY, _ESCAPED = _R(r"&([A-Za-z][A-Za-z0-9]{1,9}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"), _R(r"&(?:amp;)?lt;[/!]?([A-Za-z][A-Za-z0-9]*)[^&\n]{0,200}?(?:&(?:amp;)?gt;|$)")
 _IMAGE, _LINK, _REFLINK = _R(r"!\[[^\]\n]{0,200}\](?:\([^)\n]{0,300}\)?|\[[^\]\n]{0,80}\])"), _R(r"\[([^\[\]\n]{1,300})\]\([^)\s\n]{0,300}\)?"), _R(r"\[([^\[\]\n]{1,300})\]\[[^\[\]\n]{0,80}\]")
 _REFDEF, _FOOT = _R(r"\[([^\]\^\n]{1,80})\]:[ \t]*\S+"), _R(r"\[\^([^\]\n]{1,60})\]:?")
@@ -43,14 +43,13 @@ _WLINK, _WTMPL = _R(r"\[\[((?:[^\[\]\n]|\n(?!\s*\n)){0,300})(\]\])?"), _R(r"\{\{
 _STRONG, _UNDER, _EM = _R(r"(\*{2,3})((?:[^*\n]|\n(?!\s*\n)){1,300})(\*{2,3})?"), _R(r"__((?:[^_\n]|\n(?!\s*\n)){1,300})__"), _R(r"\*([^\s*](?:[^*\n]|\n(?!\s*\n)){0,300})\*")
 _EM_, _STRIKE = _R(r"_([^\s_](?:[^_\n]|\n(?!\s*\n)){0,200})_(?!\w)"), _R(r"~~((?:[^~\n]|\n(?!\s*\n)){1,300})(~~)?")
 _MAGIC = _R(r"__[A-Z]{2,}__")
-_CODE, _FENCE = _R(r"`([^`\n]{1,300})`"), _R(r"[ ]{0,3}(```+|~~~+)([^\n]*)(?:\n|$)")
+_FENCE = _R(r"[ ]{0,3}(```+|~~~+)([^\n]*)(?:\n|$)")
 _HEADING, _HASH, _SETEXT = _R(r"(#{1,6})[ \t]+(\S[^\n]*)"), _R(r"#+"), _R(r"(=+|-{2,})[ \t]*(?=\r?$)(?m:)")
 _TABLESEP, _ROW, _QUOTE, _TASK, _ITEM = _R(r"\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?(?=\n|$)"), _R(r"\|[^\n]*\|[ \t]*\r?(?=\n|$)"), _R(r">[ \t]?(?=\S)"), _R(r"[-*+] \[[ xX]\] "), _R(r"[-*+][ \t]+(?=\S)")
 _WHEADING, _WREDIRECT = _R(r"(={2,6})[ \t]*[^=\n]{1,300}?[ \t]*(={2,6})[ \t]*\r?(?=\n|$)"), _R(r"#(?:REDIRECT|WEITERLEITUNG|REDIRECCIÓN|REDIRECTION)\b[^\n]*")
 _WTABLE, _WTABLEEND, _WROW, _WHEADER, _WFIELD = _R(r"\{\|[^\n]*"), _R(r"\|\}"), _R(r"\|-+[ \t]*\r?(?=\n|$)"), _R(r"![ \t]*\S[^\n]*"), _R(r"\|[ \t]*[\w -]{1,40}?[ \t]*=[^\n]*")
 _WBOLD, _WITALIC = _R(r"'''((?:[^'\n]|'(?!'')|\n(?!\s*\n)){1,300})(''')?"), _R(r"''((?:[^'\n]|'(?!')){1,300})('')?")
-_VERBATIM, _ENV, _COMMAND = _R(r"\\begin\{(?:verbatim|lstlisting|minted|equation\*?|align\*?|math|displaymath)\}(?s:.{0,5000}?)(?:\\end\{[a-z*]+\}|\Z)"), _R(r"\\(?:begin|end)\{[A-Za-z*]*\}?"), _R(r"\\([A-Za-z]+)\*?")
-_DISPLAY, _DISPLAY2, _INLINE, _DOLLAR = _R(r"\$\$(?s:.{1,1000}?)(?:\$\$|\Z)"), _R(r"\\\[(?s:.{1,1000}?)(?:\\\]|\Z)"), _R(r"\\\(([^\n]{1,300}?)\\\)"), _R(r"\$([^$\n]{1,200})\$")
+_VERBATIM, _ENV, _COMMAND = _R(r"\\begin\{(verbatim|lstlisting|minted|equation\*?|align\*?|math|displaymath)\}"), _R(r"\\(?:begin|end)\{[A-Za-z*]*\}?"), _R(r"\\([A-Za-z]+)\*?")
 _ARG = _R(r"(?:\[[^\]\n]{0,100}\])?(\{[^{}\n]{0,400}\}?)")
 _TRIGGER = re.compile(r"[<&\[{\\$*_`~|]|\]\]|\}\}|''|^[ \t]{0,3}(?:[#=>+!]|-)|(?<=[a-z])\*|!\[", re.MULTILINE)
 _MATHY = re.compile(r"[\\^_={}]")
@@ -60,10 +59,33 @@ def _named(m: re.Match | None) -> str:
     return m.group(1).lower() if m and m.re.groups and m.group(1) else ""
 
 
+class _Closers:
+    """Where closing marks come next; each text is searched once per mark, however many opening ones ask."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.seen: dict[str, tuple[int, int]] = {}
+
+    def next(self, mark: str, begin: int) -> int:
+        """The first place of ``mark`` from ``begin`` on, or -1."""
+        since, at = self.seen.get(mark, (0, 0))
+        if not (mark in self.seen and since <= begin and (at < 0 or begin <= at)):
+            at = self.text.find(mark, begin)
+            self.seen[mark] = (begin, at)
+        return at
+
+    def in_line(self, mark: str, begin: int) -> int:
+        """The same, if something stands before it and both in one line."""
+        at = self.next(mark, begin)
+        line = self.next("\n", begin)
+        return at if at > begin and (line < 0 or at < line) else -1
+
+
 def nodes(text: str) -> list[tuple[int, int, str, int, int]]:
     """(begin, end, kind, complete, named) of the candidates in order, those inside others too: which of them count is for decode()."""
     out: list[tuple[int, int, str, int, int]] = []
     at, size = 0, len(text)
+    closers = _Closers(text)
     line, seen = 0, 0  # where the current line begins, how far newlines have been looked for
     for t in _TRIGGER.finditer(text):
         p = t.start()
@@ -78,8 +100,9 @@ def nodes(text: str) -> list[tuple[int, int, str, int, int]]:
         bol = p - line < 64 and not text[line:p].strip(" \t")
         hit: tuple[int, int, str, int, int] | None = None
         if c == "<":
-            if m := _COMMENT.match(text, p):
-                hit = (p, m.end(), "h_comment", int(m.group().endswith("-->")), 1)
+            if text.startswith("<!--", p):
+                close = closers.next("-->", p + 4)
+                hit = (p, close + 3 if close >= 0 else p + 4, "h_comment", int(close >= 0), 1)
             elif m := _TAG.match(text, p):
                 hit = (p, m.end(), "h_tag", 1, int(_named(m) in TAGS))
             elif m := _BROKEN.match(text, p):
@@ -135,24 +158,26 @@ def nodes(text: str) -> list[tuple[int, int, str, int, int]]:
             elif bol:
                 hit = (p, p + 1, "w_field", 0, int("||" in text[p : text.find("\n", p) if text.find("\n", p) > 0 else size]))
         elif c == "\\":
-            if m := _VERBATIM.match(text, p):
-                hit = (p, m.end(), "l_verbatim", int("\\end{" in m.group()), 1)
+            if (m := _VERBATIM.match(text, p)) and (close := closers.next(f"\\end{{{m.group(1)}}}", m.end())) >= 0:
+                hit = (p, close + len(m.group()) - 2, "l_verbatim", 1, 1)
             elif m := _ENV.match(text, p):
                 hit = (p, m.end(), "l_env", int(m.group().endswith("}")), 1)
-            elif m := _DISPLAY2.match(text, p):
-                hit = (p, m.end(), "l_display", int(m.group().endswith("\\]")), int(bool(_MATHY.search(m.group(), 2))))
-            elif m := _INLINE.match(text, p):
-                hit = (p, m.end(), "l_inline", 1, int(bool(_MATHY.search(m.group(1)))))
+            elif text.startswith("\\[", p):
+                close = closers.next("\\]", p + 3)
+                hit = (p, close + 2 if close >= 0 else p + 2, "l_display", int(close >= 0), int(bool(_MATHY.search(text, p + 2, close if close >= 0 else p + 2))))
+            elif text.startswith("\\(", p) and (close := closers.in_line("\\)", p + 2)) >= 0:
+                hit = (p, close + 2, "l_inline", 1, int(bool(_MATHY.search(text, p + 2, close))))
             elif m := _COMMAND.match(text, p):
                 a = _ARG.match(text, m.end())
                 hit = (p, m.end() if not a else m.end() + 1, "l_command", int(bool(a)), int(m.group(1) in COMMANDS))
             else:
                 hit = (p, min(size, p + 2), "l_escape", 0, 0)
         elif c == "$":
-            if m := _DISPLAY.match(text, p):
-                hit = (p, m.end(), "l_display", int(m.group().endswith("$$") and len(m.group()) > 3), int(bool(_MATHY.search(m.group(), 2))))
-            elif m := _DOLLAR.match(text, p):
-                hit = (p, m.end(), "l_dollar", 1, int(bool(_MATHY.search(m.group(1)))))
+            if text.startswith("$$", p) and p + 2 < size:
+                close = closers.next("$$", p + 3)
+                hit = (p, close + 2 if close >= 0 else p + 2, "l_display", int(close >= 0), int(bool(_MATHY.search(text, p + 2, close if close >= 0 else p + 2))))
+            elif (close := closers.in_line("$", p + 1)) >= 0:
+                hit = (p, close + 1, "l_dollar", 1, int(bool(_MATHY.search(text, p + 1, close))))
         elif c == "*":
             if bol and (m := _TASK.match(text, p)):
                 hit = (p, m.end(), "m_task", 1, 0)
@@ -174,8 +199,8 @@ def nodes(text: str) -> list[tuple[int, int, str, int, int]]:
         elif c == "`":
             if bol and (m := _FENCE.match(text, p)):
                 hit = _fence(text, p, m)
-            elif m := _CODE.match(text, p):
-                hit = (p, m.end(), "m_code", 1, 0)
+            elif (close := closers.in_line("`", p + 1)) >= 0:
+                hit = (p, close + 1, "m_code", 1, 0)
         elif c == "~":
             if bol and (m := _FENCE.match(text, p)):
                 hit = _fence(text, p, m)
