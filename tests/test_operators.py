@@ -187,3 +187,24 @@ def test_watched_folder(spark, tmp_path):
     (src / "b.txt").write_text("We met San Jose.")
     watch(spark, str(src), str(tmp_path / "cp"), handler).awaitTermination(60)
     assert sorted(r.name for r in spark.read.parquet(str(out)).collect()) == ["New York", "Old Town", "San Jose"]
+
+
+def test_fuzzy_merge_across_first_letters(spark):
+    from weftgraph.functions.similarity import name_similarity
+    from weftgraph.operators.resolve import _Reachable
+    from weftgraph.plans import resolve as plans
+
+    names = ["xhotosynthesis of plants", "photosynthesis of plants", "zebra"]
+    frame = spark.createDataFrame([(n, "concept", "f", i) for i, n in enumerate(names)], "name string, entity_type string, file string, ord long")
+    mentions, plans.chunk_mentions = plans.chunk_mentions, lambda *_: frame
+    try:
+        assert [(r.surface, r.canonical) for r in plans.fuzzy_merge(spark, "").collect()] == [(names[1], names[0])]
+    finally:
+        plans.chunk_mentions = mentions
+    some = ["Anna Maria", "Hanna Maria", "anna", "Nana", "Ana Marja", "ŠÄnna", "a", "b", "aaaa bbbb", "bbbb aaaa", "martha", "marhta"]
+    kept = _Reachable(len(some))
+    for n in some:
+        kept.add(n)
+    for n in some:
+        bounds = dict(kept.bounds(n, 0.9))
+        assert all(name_similarity(n, o) <= bounds.get(i, 0.9) for i, o in enumerate(some))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,10 +48,43 @@ def rename_ends(relations: DataFrame, renames: DataFrame) -> DataFrame:
     return joined.withColumns({"src": F.coalesce("__a", "src"), "dst": F.coalesce("__b", "dst")}).drop("__s", "__a", "__d", "__b")
 
 
+class _Reachable:
+    """Kept names that can reach a similarity: an upper bound of Jaro-Winkler from lengths, shared characters and prefix.
+
+    No more characters match than both names hold, whatever their places, so what is left out is below the threshold.
+    """
+
+    def __init__(self, n: int):
+        self.n = 0
+        self.held, self.size, self.first = np.zeros((n, 64), np.int16), np.zeros(n), np.zeros((n, 4), np.int32)
+
+    @staticmethod
+    def _of(name: str) -> tuple[np.ndarray, int, np.ndarray]:
+        codes = np.array([ord(c) for c in name.lower()], np.int32)
+        return np.bincount(codes % 64, minlength=64).astype(np.int16), max(1, len(codes)), codes[:4]
+
+    def add(self, name: str) -> None:
+        held, size, first = self._of(name)
+        self.held[self.n], self.size[self.n], self.first[self.n, : len(first)] = held, size, first
+        self.n += 1
+
+    def bounds(self, name: str, least: float) -> list[tuple[int, float]]:
+        held, size, first = self._of(name)
+        begins = np.full(4, -1)
+        begins[: len(first)] = first
+        near = np.flatnonzero((2 + np.minimum(self.size[: self.n], size) / np.maximum(self.size[: self.n], size)) / 3 * 0.6 + 0.4 >= least - 1e-9)
+        shared = np.minimum(self.held[near], held).sum(axis=1)
+        score = (shared / self.size[near] + shared / size + 1) / 3
+        score += np.cumprod(self.first[near] == begins, axis=1).sum(axis=1) * 0.1 * (1 - score)
+        reach = score >= least - 1e-9
+        return list(zip(near[reach].tolist(), (score[reach] + 1e-9).tolist()))
+
+
 def _fold(least: float, cross: float):
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord")
         kept: list[tuple[str, str, str]] = []
+        reachable = _Reachable(len(group))
         exact: dict[str, int] = {}
         out = []
         for name, norm, kind in zip(group["name"], group["norm"], group["entity_type"]):
@@ -58,11 +92,11 @@ def _fold(least: float, cross: float):
                 out.append((name, kept[exact[norm]][0], 1.0))
                 continue
             best, at = 0.0, -1
-            for i, (other, _, other_kind) in enumerate(kept):
-                short, long = sorted((len(name), len(other)))
-                if long and short / long < 0.5:  # no pair of such lengths reaches the threshold
-                    continue
+            for i, most in reachable.bounds(name, least):
+                other, _, other_kind = kept[i]
                 need = least if kind == other_kind or "other" in (kind, other_kind) or not kind or not other_kind else max(least, cross)
+                if most < need or most <= best:
+                    continue
                 s = name_similarity(name, other)
                 if s >= need and s > best:
                     best, at = s, i
@@ -72,6 +106,7 @@ def _fold(least: float, cross: float):
             else:
                 exact[norm] = len(kept)
                 kept.append((name, norm, kind))
+                reachable.add(name)
                 out.append((name, name, 1.0))
         return pd.DataFrame(out, columns=["surface", "canonical", "sim"])
 

@@ -37,9 +37,8 @@ def rename_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of chunks folded by similarity within blocks of one first letter."""
-    block = F.substring(F.lower("name"), 1, 1)
-    return resolve.fuzzy_merge(chunk_mentions(spark, sf_dir), block=block).where("surface <> canonical").select("surface", "canonical", F.round("sim", 6).alias("sim"))
+    """Names of chunks folded by similarity."""
+    return resolve.fuzzy_merge(chunk_mentions(spark, sf_dir)).where("surface <> canonical").select("surface", "canonical", F.round("sim", 6).alias("sim"))
 
 
 def folded_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
