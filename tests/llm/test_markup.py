@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 
 from weftgraph.llm.boosting import BoostedTrees
-from weftgraph.llm.markup import cleaned_texts, clean_markup, decoded, found_markup, languages_mask, model, training_nodes
-from weftgraph.llm.markup_nodes import LANGUAGES
+from weftgraph.llm.markup import SEED, clean_markup, cleaned_texts, decoded, found_markup, languages_mask, model, training_nodes
+from weftgraph.llm.markup_held_out import false_share, folds, recall_of
+from weftgraph.llm.markup_nodes import LANGUAGES, nodes, parents
 
 
 def languages(text):
@@ -11,9 +12,18 @@ def languages(text):
     return {k for i, k in enumerate(LANGUAGES) if mask >> i & 1}
 
 
-def test_held_out_accuracy():
-    x, y = training_nodes(300, seed=4711)
-    assert ((model().margin(x) > 0) == (y > 0)).mean() > 0.98
+def cleaned(text):
+    (found, keep), = decoded(model(), [text])
+    return clean_markup(text, found, keep)
+
+
+def test_recall_of_kinds_never_seen():
+    """Trees fitted without any construct of a fold find most of its kinds by their form."""
+    fold = folds(6)[0]
+    trees = BoostedTrees().fit(*training_nodes(1200, SEED, skip=fold))
+    recalls = {kind: recall_of(trees, kind, 25) for kind in fold}
+    assert np.median(list(recalls.values())) >= 0.85, recalls
+    assert false_share(trees, 200) <= 0.15
 
 
 def test_trees_learn_an_interaction():
@@ -23,35 +33,55 @@ def test_trees_learn_an_interaction():
     assert ((BoostedTrees(30).fit(x[:1500], y[:1500]).margin(x[1500:]) > 0) == (y[1500:] > 0)).mean() > 0.97
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Tickets were $9 before, now they are $11.", "Only sizes x < 40 and y > 12 fit the shelf.", "Return a Result<Vec<u8>, Error> from there.", "Look under D:\\photos\\summer\\raw for them.", "Marks & Spencer sold it to P&O.", "Earlier work [12], [Smith 1999] and [3, 4] disagree.",
+        "Use len(x) * 2 or 3 * y, never both.", "The parameter max_row_count is read by __init__.", "Ticket #88 belongs to #sales-north.", "Write {name} where the '80s were meant.", "It takes a minute -- or ~2 -- to cool down.", "",
+    ],
+)
+def test_prose_is_no_markup(text):
+    assert languages(text) == set()
+    assert cleaned(text) == text
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("The budget went from $4001 to $1281 a year.", set()), ("It holds while n < 1870 and m > 875.", set()), ("A Map<String, Folhos> would do.", set()), ("The folder was C:\\temp\\jud\\new_4360 on it.", set()), ("R&D at Yol paid Eld & gra.", set()),
-        ("As [4916] and later [4566, p. 4] say.", set()), ("The call a.__init__ takes *args and a_b_id.", set()), ("2096 * 834 == the total, give or take ~2096.", set()), ("See issue #3690 in the #vil-bul channel.", set()), ("The key {pev} stays empty, as in the '90s.", set()),
-        ("The <b>run</b> was kept.", {"html"}), ("It was &lt;span&gt;kept&lt;/span&gt; there.", {"html"}), ("One more&hellip; run.", {"html"}), ("Text.\n<section class=\n\nMore.", {"html"}),
-        ("It was **kept** there.", {"markdown"}), ("A [link](https://x.example/a/1) here.", {"markdown"}), ("Text.\n\n## Head line\n\nMore.", {"markdown"}), ("Text.\n\n- [ ] task one\n- [ ] task two\n", {"markdown"}), ("A [word]( was left open.", {"markdown"}),
-        ("The [[Name One|alias]] was kept.", {"wiki"}), ("== Head line ==\nText follows.", {"wiki"}), ("It was '''kept''' there.", {"wiki"}), ("{| class=\"a\"\n! head\n|-\n| cell || 2\n|}", {"wiki"}), ("Text.\n__NOTOC__\nMore.", {"wiki"}), ("The {{lang|pag=114}} queue.", {"wiki"}),
-        ("The $x_{12}=y_i$ rows.", {"latex"}), ("It was \\emph{kept} there.", {"latex"}), ("\\begin{itemize}\n  \\item one\n\\end{itemize}", {"latex"}), ("As shown~\\ref{a:1} before.", {"latex"}),
-        ("The <b>run</b> of $x_1=y_i$ rows and **more**.", {"html", "latex", "markdown"}), ("", set()),
+        ("1. peel the apples\n2. boil some water\n3. stir", {"markdown"}), ("Write to <https://garden.example/seeds> soon.", {"markdown"}), ("A <photo-card id=\"x\">tulip</photo-card> here.", {"html"}), ("<!DOCTYPE html>\nTulips.", {"html"}), ("Trees.\n** oak\n** beech", {"wiki"}),
+        ("See [https://garden.example the garden] now.", {"wiki"}), (";oak : a tree", {"wiki"}), ("Planted by ~~~~", {"wiki"}), ("~~~~\nx = 1\n~~~~", {"markdown"}), ("Type \\verb|a_b| there.", {"latex"}), ("Printed \\today in town.", {"latex"}), ("Let $n$ be odd.", {"latex"}),
+        ("Oaks <!-- " + "not shown " * 300 + "--> grow.", {"html"}), ("An [" + "old oak " * 60 + "](https://garden.example/oak) grows.", {"markdown"}), ("Oaks <em>grow</em> slowly.", {"html"}), ("Oaks &lt;em&gt;grow&lt;/em&gt; slowly.", {"html"}), ("Oaks&nbsp;grow &mdash; slowly.", {"html"}), ("Oaks **grow** slowly.", {"markdown"}),
+        ("An [oak](https://garden.example/oak) grows.", {"markdown"}), ("Oaks.\n\n## Where they grow\n\nIn parks.", {"markdown"}), ("Buy:\n\n- [ ] an oak\n- [x] a beech\n", {"markdown"}), ("The [[Oak tree|oak]] grows.", {"wiki"}), ("== Where they grow ==\nIn parks.", {"wiki"}), ("Oaks '''grow''' slowly.", {"wiki"}),
+        ("{| class=\"trees\"\n! tree\n|-\n| oak || 12\n|}", {"wiki"}), ("Oaks.\n__NOTOC__\nBeeches.", {"wiki"}), ("Oaks {{citation|year=1999}} grow.", {"wiki"}), ("Heights $h_{2}=h_1$ differ.", {"latex"}), ("Oaks \\emph{grow} slowly.", {"latex"}), ("\\begin{itemize}\n  \\item oak\n\\end{itemize}", {"latex"}), ("As in~\\ref{fig:oak} above.", {"latex"}),
+        ("An <b>oak</b> of height $h_1=h_2$ and **more**.", {"html", "latex", "markdown"}),
     ],
 )
 def test_languages(text, want):
     assert languages(text) == want
 
 
-def cleaned(text):
+def test_rows_count_only_inside_an_accepted_table():
+    alone = "| oak | beech |\n\n" + "Trees grow in parks. " * 30
+    assert languages(alone) == set()
+    text = alone + "\n\n| tree | age |\n|---|---|\n| oak | 12 |\n"
     (found, keep), = decoded(model(), [text])
-    return clean_markup(text, found, keep)
+    assert {found[i].begin > len(alone) for i in keep if found[i].kind == "m_row"} == {True}
+
+
+def test_parents_are_the_innermost_open_nodes():
+    found = nodes("<div>a <b>c</b></div> d")
+    assert [(n.kind, p) for n, p in zip(found, parents(found))] == [("h_tag", -1), ("h_tag", 0), ("h_close", 1), ("h_close", 0)]
 
 
 def test_structure_survives():
-    assert cleaned("<h2>Head line</h2>\n<p>The <b>run</b> was kept.</p>") == "## Head line\n\nThe run was kept."
-    assert cleaned("== Head line ==\nThe [[Name One|alias]] was '''kept'''.") == "## Head line\nThe alias was kept."
-    assert cleaned("It was **kept** in a [link](https://x.example/a/1) here.") == "It was kept in a link here."
-    assert "$x_{12}=y_i$" in cleaned("The $x_{12}=y_i$ rows were \\emph{kept} there.")
-    assert cleaned("The budget went from $4001 to $1281 a year.") == "The budget went from $4001 to $1281 a year."
-    code = "Text.\n\n```python\na = load_b(1)\nif a is None:\n    retry(2)\n```\nMore."
+    assert cleaned("<h2>Old trees</h2>\n<p>The <b>oak</b> grows.</p>") == "## Old trees\n\nThe oak grows."
+    assert cleaned("== Old trees ==\nThe [[Oak tree|oak]] '''grows'''.") == "## Old trees\nThe oak grows."
+    assert cleaned("Oaks **grow** in a [park](https://garden.example/p) here.") == "Oaks grow in a park here."
+    assert "$h_{12}=h_1$" in cleaned("Heights $h_{12}=h_1$ are \\emph{equal} there.")
+    assert cleaned("Oaks \\textbf{grow \\emph{very} slowly} here.") == "Oaks grow very slowly here."
+    code = "Trees.\n\n```python\nage = rings(1)\nif age > 9:\n    cut(2)\n```\nMore."
     assert cleaned(code) == code
+    assert cleaned("Do:\n<pre><code>a &lt; b\n</code></pre>\n<script>x = 1</script>End.") == "Do:\n\n```\na < b\n```\n\nEnd."
 
 
 def test_rows(spark, shuffled):
@@ -61,7 +91,7 @@ def test_rows(spark, shuffled):
     got = {(r.record_kind, r.record_id): r.clean_text for r in cleaned_texts(df.where("record_id < 5")).collect()}
     assert got == {("document", 1): "It was kept there.", ("markdown", 2): "", ("html", 3): "", ("html", 4): "plain prose"}
     assert found_markup(df.limit(0)).count() == 0
-    assert found_markup(df.where("record_id = 5")).count() >= 0
+    assert found_markup(df.where("record_id = 5")).count() <= 4
 
 
 @pytest.mark.parametrize(
@@ -92,11 +122,11 @@ def test_long_structures_stay_whole(text, inside):
 
 def test_long_comment_and_inline_code():
     assert cleaned("Text <!-- " + "left out 12 " * 400 + "--> goes on.").split() == ["Text", "goes", "on."]
-    code = "`" + "call_me(1) " * 60 + "`"
+    code = "`" + "call_me(1) " * 60 + "x`"
     assert languages(f"The {code} rows.") == {"markdown"}
     assert code in cleaned(f"The {code} rows.")
 
 
 def test_unclosed_marks_are_linear():
-    for mark in ("<!-- x ", "\\[ x ", "$$$ x ", "\\begin{verbatim} ", "\\( x "):
-        assert len(languages(mark * 60_000)) <= 4
+    for mark in ("<!-- x ", "\\[ x ", "$$$ x ", "\\begin{verbatim} ", "\\( x ", "**x", "[[", "{{", "''x ", "`` x ` ", "<pre>", "\\verb|x "):
+        assert len(languages(mark * 30_000)) <= 4

@@ -7,10 +7,17 @@ import numpy as np
 from weftgraph.functions.shipping import by_value
 
 
+def _merged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sum of their labels and how often each stands."""
+    packed = np.ascontiguousarray(x.astype(np.int16)).view(np.dtype((np.void, 2 * x.shape[1]))).ravel()
+    _, first, back, weight = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
+    return x[first], np.bincount(back.ravel(), y, len(first)), weight.astype(float)
+
+
 class BoostedTrees:
     """Trees of one fixed depth, each a full binary tree of (feature, threshold) and leaf values."""
 
-    def __init__(self, trees: int = 48, depth: int = 4, rate: float = 0.3, penalty: float = 1.0):
+    def __init__(self, trees: int = 64, depth: int = 5, rate: float = 0.3, penalty: float = 1.0):
         self.n_trees, self.depth, self.rate, self.penalty = trees, depth, rate, penalty
         self.feature = np.zeros((0, 0), np.int64)
         self.threshold = np.zeros((0, 0), np.int64)
@@ -18,19 +25,20 @@ class BoostedTrees:
         self.base = 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        """x: rows of non-negative integers; y: 0 or 1."""
-        n, width = x.shape
+        """x: rows of non-negative integers; y: 0 or 1. Equal rows are fitted as one with its weight."""
         bins = int(x.max()) + 1
+        x, y, weight = _merged(x, y)
+        n, width = x.shape
         inner = (1 << self.depth) - 1
         self.feature = np.zeros((self.n_trees, inner), np.int64)
         self.threshold = np.full((self.n_trees, inner), bins, np.int64)
         self.leaf = np.zeros((self.n_trees, inner + 1))
-        share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+        share = min(max(y.sum() / weight.sum(), 1e-3), 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
         margin = np.full(n, self.base)
         for t in range(self.n_trees):
             p = 1 / (1 + np.exp(-margin))
-            g, h = p - y, p * (1 - p)
+            g, h = weight * p - y, weight * p * (1 - p)
             node = np.zeros(n, np.int64)
             for level in range(self.depth):
                 first, count = (1 << level) - 1, 1 << level

@@ -2,12 +2,12 @@
 
 Candidates form a tree (markup_nodes.py); gradient-boosted trees over their features (what the node is and holds, the
 characters around it, attribute tokens, depth, siblings, density of the subtree) give each node's log-odds of being
-markup rather than prose that uses the same characters. Hierarchical decoding keeps the choices consistent: a node that
-is only part of a structure counts only with that structure, and what stands in accepted code or formulas is no markup.
+markup rather than prose that uses the same characters. Hierarchical decoding goes from parents to children: a part of a
+table or template counts only inside an accepted one, and what stands in accepted code or formulas is no markup.
 
-The trees are fitted here, on ``TRAINING_TEXTS`` authored texts drawn from a fixed seed: invented prose with markup of
-every kind, whole and broken, and look-alikes (prices, comparisons, paths, generic types, reference marks, identifiers).
-The fit takes a second or two on the driver and depends on no data.
+The trees are fitted here, on ``TRAINING_TEXTS`` texts drawn from a fixed seed (markup_texts.py): a grammar of the four
+languages' specifications, whole and broken, amid prose and look-alikes. The fit takes some seconds on the driver, once
+per process, and depends on no data.
 
 Defined results: null and blank texts hold nothing and clean to an empty text; records repeated by id count once; a text
 without markup is returned as it is but for line ends.
@@ -17,9 +17,8 @@ from __future__ import annotations
 
 import heapq
 import html
-import random
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,154 +27,37 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.shipping import by_value
 from weftgraph.llm.boosting import BoostedTrees
-from weftgraph.llm.markup_nodes import KINDS, LANGUAGES, SEALED, closing, features, nodes
+from weftgraph.llm.markup_nodes import EMPHASIS, KINDS, LANGUAGES, PART_OF, SEALED, Node, closing, features, nodes, parents
+from weftgraph.llm.markup_texts import Maker
 
-TRAINING_TEXTS, SEED = 2600, 20
-#: Parts of a structure and the kinds that must be accepted near them for the parts to count.
-_PART_OF = {"m_row": ("m_tablesep",), "w_row": ("w_table",), "w_header": ("w_table",), "w_field": ("w_table", "w_template")}
+TRAINING_TEXTS, SEED = 4000, 20
 
 
-_EMPHASIS = frozenset(("m_strong", "m_em", "m_em_", "m_under", "m_strike", "w_bold", "w_italic"))
-
-
-def _word(r: random.Random) -> str:
-    return "".join(r.choice(("ba", "ri", "to", "len", "mus", "ka", "ver", "do", "sil", "pe", "nor", "gu", "ta", "zem", "lo", "é", "ü")) for _ in range(r.randint(1, 3)))
-
-
-def _name(r: random.Random) -> str:
-    return _word(r).capitalize()
-
-
-def _words(r: random.Random, least: int = 1, most: int = 4) -> str:
-    return " ".join(_word(r) for _ in range(r.randint(least, most)))
-
-
-def _sentence(r: random.Random) -> str:
-    parts = [_name(r), *(_word(r) if r.random() < 0.85 else str(r.randint(2, 4999)) for _ in range(r.randint(4, 14)))]
-    if r.random() < 0.3:
-        parts.insert(r.randint(1, len(parts) - 1), _word(r) + ",")
-    return " ".join(parts) + r.choice("....?!")
-
-
-def _maths(r: random.Random) -> str:
-    v = lambda: r.choice("abcnpqxy") + r.choice(("_i", "_k", "^2", f"_{{{r.randint(1, 4999)}}}", ""))
-    return r.choice((f"{v()}_1 {r.choice(('+', '-', '='))} {v()}", f"{v()} \\leq {v()}^2", f"{v()}^2={v()}", f"\\sum_{{i}} {v()} \\cdot {v()}", f"\\frac{{{v()}}}{{{v()}}}"))
-
-
-def _code(r: random.Random) -> str:
-    return f"{_word(r)} = load_{_word(r)}({r.randint(1, 4999)})\nif {_word(r)} is None:\n    retry({r.randint(1, 99)}, \"{_name(r)}\")"
-
-
-def _html(r: random.Random) -> tuple[str, bool]:
-    t = r.choice(("b", "i", "em", "strong", "u", "span", "sup", "sub", "p", "code", "div", "td", "small"))
-    if r.random() < 0.15:
-        t = t.upper()
-    inline = (
-        f"<{t}>{_words(r)}</{t}>", f'<a href="https://{_word(r)}.example/{_word(r)}/{r.randint(1, 4999)}">{_words(r)}</a>', f"{_word(r)}<br/> {_word(r)}", f"{_word(r)}<wbr> {_word(r)}",
-        f"{_word(r)}&{r.choice(('amp', 'nbsp', 'hellip', 'rsquo', 'lt', 'gt', 'quot', '#8211', '#xA7', 'mdash'))}; {_word(r)}", f"&lt;{t}&gt;{_words(r)}&lt;/{t}&gt;", f"&amp;lt;{t}&amp;gt;{_words(r)}", f"<{t}>{_words(r)}", f"{_words(r)}</{t}>",
-    )
-    block = (
-        f"<p>{_sentence(r)}</p>", f'<div class="{_word(r)}-{r.randint(1, 4999)}"><p>{_sentence(r)}</p></div>', f"<h{r.randint(1, 4)}>{_words(r)}</h2>", f"<ul><li>{_words(r)}</li><li>{_words(r)}</li></ul>",
-        f"<table><tr><th>{_word(r)}</th></tr><tr><td>{_words(r)}</td><td>{r.randint(1, 99)}</td></tr></table>", f'<img src="https://{_word(r)}.example/{_word(r)}" alt="{_words(r)}" />', f"<!-- {_words(r)} {r.randint(1, 99)} -->", f"<!-- {_words(r)}",
-        f"<pre><code>{_code(r)}</code></pre>", f'<script>var {_word(r)} = "{r.randint(1, 99)}";</script>', f"<{r.choice(('section', 'div', 'td', 'span', 'a'))} class=", f"<P>{_sentence(r)}", f"<style>.{_word(r)} {{color: red}}</style>",
-    )
-    return (r.choice(inline), True) if r.random() < 0.5 else (r.choice(block), False)
-
-
-def _markdown(r: random.Random) -> tuple[str, bool]:
-    url = f"https://{_word(r)}.example/{_word(r)}/{r.randint(1, 4999)}"
-    s = r.choice(("*", "**", "***", "~~", "__", "_"))
-    w = _words(r)
-    inline = (f"{s}{w}{s}", f"[{w}]({url})", f"[{w}][{r.randint(1, 420)}]", f"`{_word(r)}_{_word(r)}()`", f"`{_word(r)}`", f"![{w}]({r.choice((url, str(r.randint(0, 9))))})", f"[{w}](", f"{w}.[^{r.randint(1, 99)}]", f"**{w}", f"~~{w}", f"[{w}]({url}", f"`{_word(r)} = {r.randint(1, 99)}`")
-    k = "#" * r.randint(1, 6)
-    mark = r.choice("-*+")
-    title = _words(r, 2, 5)
-    block = (
-        f"{k} {title}", f"{title}\n{r.choice('=-') * r.randint(len(title) - 2, len(title) + 2)}", f"{r.choice(('```', '~~~'))}{r.choice(('', 'python', 'js'))}\n{_code(r)}\n```", f"~~~\n{_code(r)}\n~~~", f"```\n{_code(r)}",
-        f"| {_word(r)} | {_word(r)} |\n|---|:--:|\n| {_words(r)} | {r.randint(1, 4999)} |\n| {_words(r)} | {r.randint(1, 99)} |", "\n".join(f"{mark} {_words(r)}" for _ in range(r.randint(2, 4))), "\n".join(f"- [{r.choice(' x')}] {_words(r)}" for _ in range(r.randint(1, 3))),
-        f"> {_sentence(r)}", f"[{r.randint(1, 420)}]: {url}", f"[^{r.randint(1, 99)}]: {_sentence(r)}", f"![{w}]({url})",
-    )
-    return (r.choice(inline), True) if r.random() < 0.5 else (r.choice(block), False)
-
-
-def _wiki(r: random.Random) -> tuple[str, bool]:
-    w = _words(r)
-    inline = (f"[[{_name(r)}]]", f"[[{_name(r)} {_name(r)}|{w}]]", f"'''{w}'''", f"''{w}''", f"{{{{{r.choice(('lang', 'cite web', 'citation needed', _word(r)))}|{_word(r)}={r.randint(1, 4999)}}}}}", f"[[{w}", f"[[{_name(r)}|{w}", f"{{{{{_word(r)}|{_word(r)}={r.randint(1, 99)}", f"'''{w}", f"{{{{{_words(r)}}}}}", f"{w}}}}}", f"{w}]]", f"'''{w}\n{w}'''")
-    e = "=" * r.randint(2, 5)
-    block = (
-        f"__{r.choice(('NOTOC', 'TOC', 'FORCETOC', 'NOEDITSECTION'))}__",
-        f"{e} {w} {e}", f"{e}{w} {r.randint(1, 99)} {e}", f"[[{r.choice(('Category', 'Kategorie', 'File', 'Datei', 'Categoría'))}:{_name(r)} {r.randint(1, 4999)}]]", f"#REDIRECT [[{_name(r)}]]",
-        f"{{{{Infobox {w}\n|{_word(r)} = {_name(r)}\n|{_word(r)} = {r.randint(1, 4999)}\n}}}}", f"{{| class=\"{_word(r)}\"\n! {w}\n|-\n| {w} || {r.randint(1, 4999)}\n|-\n| {_words(r)} || {r.randint(1, 99)}\n|}}", f"{{| class=\"{_word(r)}\"\n! {w}\n|-\n| {w} || {r.randint(1, 99)}",
-    )
-    return (r.choice(inline), True) if r.random() < 0.5 else (r.choice(block), False)
-
-
-def _latex(r: random.Random) -> tuple[str, bool]:
-    w = _words(r)
-    c = r.choice(("emph", "textbf", "texttt", "footnote", "underline", "textit"))
-    inline = (f"\\{c}{{{w}}}", f"${_maths(r)}$", f"\\({_maths(r)}\\)", f"{_word(r)}~\\ref{{{_word(r)}:{r.randint(1, 4999)}}}", f"{_word(r)}~\\cite{{{_word(r)}:{r.randint(1, 4999)}}}", f"\\{c}{{{w}", f"\\cite{{{_word(r)}}}", f"\\label{{{_word(r)}}}", f"\\{c}{{{w} \\emph{{{w}}}}}", f"\\frac{{{_word(r)}}}{{{_word(r)}_{{{r.randint(1, 99)}}}}}")
-    env = r.choice(("itemize", "enumerate", "quote", "center", "table"))
-    block = (
-        f"\\{r.choice(('section', 'subsection', 'subsection*', 'paragraph'))}{{{w}}}", f"\\begin{{{env}}}\n  \\item {w}\n  \\item {_words(r)}\n\\end{{{env}}}", f"\\begin{{equation}}\\label{{eq:{r.randint(1, 99)}}}\n{_maths(r)}\n\\end{{equation}}", f"$$ {_maths(r)} $$", f"\\[ {_maths(r)} \\]",
-        f"\\begin{{verbatim}}\n{_code(r)}\n\\end{{verbatim}}", f"\\begin{{quote}}\n\\centering\n\n{_sentence(r)}\n\\end{{quote}}", f"\\begin{{{env}}}\n\\item {w}", f"\\includegraphics[width=\\textwidth]{{{_word(r)}}}",
-    )
-    return (r.choice(inline), True) if r.random() < 0.5 else (r.choice(block), False)
-
-
-def _look_alike(r: random.Random) -> str:
-    n = lambda: r.randint(2, 4999)
-    w = lambda: _word(r)
-    return r.choice((
-        f"{_name(r)} went from ${n()} to ${n()} a {w()}", f"it cost $ {n()} or ${n()}.50 each", f"the {w()} holds while n < {n()} and m > {n()}", f"if a<b and {w()} >= {n()} then", f"{w()} <= {n()} & {w()} > 3", f"a Map<String, {_name(r)}> would do for {w()}", f"List<{_name(r)}> or vector<int>",
-        f"that {n()} * {n()} == the total", f"the call {w()}.__init__ takes *args and {w()}_{w()}_id", f"{w()}_{w()}_{w()} and _{w()} are names", f"give or take ~{n()}", f"about ~{n()} {w()}", f"{_name(r)} [{n()}] and later [{n()}, p. {r.randint(1, 9)}] say otherwise", f"as shown [{n()}], [{n()}]", f"see issue #{n()} in the #{w()}-{w()} channel",
-        f"ratio {n()}/{n()} -- that is all {_name(r)} said", f"the folder was C:\\temp\\{w()}\\new_{n()} on the old machine", f"D:\\{w()}\\{w()}\\text\\{w()}.txt", f"R&D at {_name(r)} paid {_name(r)} & {w()} for it", f"AT&T; Q&A", f"the key {{{w()}}} in {_name(r)} stays empty, as in the '90s", f"rock '{n()}s and the '{r.randint(10, 99)}",
-        f"{w()}@{w()}.example", f"{w()} | {w()}", f"{w()}|{w()}", f"5 - 3 = 2", f"{w()} = {n()}", f"a[{r.randint(0, 9)}] = b[{r.randint(0, 9)}]", f"[ {w()} {w()}", f"{w()} ] {w()}", f"( {w()}", f"{w()}* and {w()}**", f"footnote *{w()}", f"<{n()} or >{n()}", f"-> {w()} <-", f"<3 {w()}", f"x^2 + y_1", f"{w()} -- {w()}", f"{w()} ~ {w()}",
-        f"{_name(r)}'s and {_name(r)}s'", f"[{w()}] {w()}", f"#{n()}", f"#{w()}", f"{{{w()}: {n()}}}", f"/{w()}/{w()}", f"{w()}=/{w()}", f"+{w()}", f"`{w()}", f"USD {n()} & EUR {n()}", f"// {w()} {w()}", f"{w()}: {{}}", f"'{w()}' or ''", f"\"[ {w()}", f"$HOME and $PATH", f"{w()} \\ {w()}",
-    ))
-
-
-def training_text(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
-    """An authored text and its (begin, end, language) spans of markup."""
-    makers: tuple[Callable, ...] = (_html, _markdown, _wiki, _latex)
-    text, spans = "", []
-    for _ in range(r.randint(2, 7)):
-        bits: list[str | tuple[int, str]] = []
-        for _ in range(r.randint(1, 3)):
-            words = _sentence(r).split(" ")
-            if r.random() < 0.22:
-                language = r.randrange(4)
-                made, inline = makers[language](r)
-                if inline:
-                    k = r.randint(0, len(words))
-                    bits += [" ".join(words[:k]) + " " * bool(k), (language, made), " " + " ".join(words[k:]) + " "]
-                    continue
-                bits += [" ".join(words) + r.choice(("\n", "\n\n", "\r\n\r\n")), (language, made), r.choice(("\n", "\n\n"))]
-            elif r.random() < 0.3:
-                k = r.randint(0, len(words))
-                bits += [" ".join(words[:k] + [_look_alike(r)] + words[k:]) + " "] if r.random() < 0.5 else [_look_alike(r) + ". "]
-            else:
-                bits.append(" ".join(words) + " ")
-        if bits and isinstance(bits[0], str) and text and not text.endswith("\n"):
-            text += r.choice(("\n", "\n\n", "\r\n\r\n", "\n \n"))
-        for bit in bits:
-            if isinstance(bit, str):
-                text += bit
-            else:
-                spans.append((len(text), len(text) + len(bit[1]), bit[0]))
-                text += bit[1]
-    return text, spans
-
-
-def training_nodes(n: int = TRAINING_TEXTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of ``n`` authored texts."""
-    r = random.Random(seed)
+def labelled(text: str, spans: list[tuple[int, int, int]], found: list[Node]) -> tuple[np.ndarray, np.ndarray]:
+    """Per node whether it is markup of its language, and whether it says anything: not inside code, formulas or comments."""
+    y, counts = np.zeros(len(found)), np.ones(len(found), bool)
+    opaque = -1
+    for i, n in enumerate(found):
+        end = max(n.end, n.begin + 1)
+        y[i] = any(n.begin < se and end > sb and KINDS[n.kind][0] == language for sb, se, language in spans)
+        if n.begin < opaque:
+            counts[i] = False
+        elif y[i] and (KINDS[n.kind][1] or n.kind in SEALED):
+            opaque = n.end
+    return y, counts
+
+
+def training_nodes(n: int = TRAINING_TEXTS, seed: int = SEED, skip: frozenset[str] = frozenset(), only: frozenset[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the nodes of ``n`` drawn texts; ``skip`` and ``only`` leave out kinds of constructs."""
+    maker = Maker(seed)
     xs, ys = [], []
     for _ in range(n):
-        text, spans = training_text(r)
+        text, spans = maker.text(skip, only)
         found = nodes(text)
         if found:
-            xs.append(features(text, found))
-            ys.append(np.array([any(b < se and e > sb and KINDS[k][0] == lang for sb, se, lang in spans) for b, e, k, _, _ in found], dtype=float))
+            y, counts = labelled(text, spans, found)
+            xs.append(features(text, found)[counts])
+            ys.append(y[counts])
     return np.concatenate(xs), np.concatenate(ys)
 
 
@@ -189,30 +71,41 @@ def model() -> BoostedTrees:
     return _fitted[0]
 
 
-def decode(text: str, found: list[tuple[int, int, str, int, int]], margin: np.ndarray) -> list[int]:
-    """Indices of the accepted nodes: likely ones, none inside accepted code or formulas, parts only with their whole.
+def decode(text: str, found: list[Node], margin: np.ndarray) -> list[int]:
+    """Indices of the accepted nodes, parents decided before children.
 
-    The closing mark of an accepted emphasis opens nothing.
+    A part of a structure is accepted only inside an accepted one (the nearest that it can be part of), nothing inside
+    accepted code, formulas or tags; what closes an accepted element is accepted with it, and the closing mark of an
+    accepted emphasis opens nothing.
     """
     accepted: list[int] = []
-    wholes: set[str] = set()
+    taken = [False] * len(found)
+    up = parents(found) if any(n.kind in PART_OF for n in found) else []
     opaque = -1
     closed: list[tuple[int, int]] = []
-    for i, (begin, end, kind, _, _) in enumerate(found):
-        if margin[i] <= 0 or begin < opaque:
+    due: set[int] = set()
+    for i, n in enumerate(found):
+        if (margin[i] <= 0 and not (n.end in due and n.kind in ("h_close", "l_env"))) or n.begin < opaque:
             continue
-        while closed and closed[0][1] <= begin:
+        while closed and closed[0][1] <= n.begin:
             heapq.heappop(closed)
-        if closed and closed[0][0] <= begin:
+        if closed and closed[0][0] <= n.begin:
             continue
+        if wholes := PART_OF.get(n.kind):
+            k = up[i]
+            while k >= 0 and found[k].kind not in wholes:
+                k = up[k]
+            if k < 0 or not taken[k]:
+                continue
+        taken[i] = True
         accepted.append(i)
-        if kind not in _PART_OF:
-            wholes.add(kind)
-        if KINDS[kind][1] or kind in SEALED:
-            opaque = max(opaque, end)
-        elif kind in _EMPHASIS and (close := closing(text, found[i])) < end:
-            heapq.heappush(closed, (close, end))
-    return [i for i in accepted if found[i][2] not in _PART_OF or any(w in wholes for w in _PART_OF[found[i][2]])]
+        if KINDS[n.kind][1] or n.kind in SEALED:
+            opaque = max(opaque, n.end)
+        if n.extent > n.end and n.kind in ("h_tag", "l_env"):
+            due.add(n.extent)
+        elif n.kind in EMPHASIS and (close := closing(text, n)) < n.end:
+            heapq.heappush(closed, (close, n.end))
+    return accepted
 
 
 def _margins(trees: BoostedTrees, rows: np.ndarray) -> np.ndarray:
@@ -244,74 +137,90 @@ def languages_mask(trees: BoostedTrees, texts: list[str]) -> list[int]:
 
 
 _FILED = re.compile(r"(?i)\[\[(category|kategorie|catégorie|categoría|file|datei|fichier|archivo):")
-_ATTRIBUTES = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{?")
+_ANY_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_NAME = re.compile(r"\\([A-Za-z]+)")
 _BLANKS, _TRAIL = re.compile(r"\n{3,}"), re.compile(r"[ \t]+(?=\n|$)")
 
 
-def _rendered(text: str, node: tuple[int, int, str, int, int]) -> tuple[int, str]:
+def _rendered(text: str, node: Node) -> tuple[int, str]:
     """Where the node's own marks end, and what to write for them: structure stays, marks go."""
-    b, e, kind, _, _ = node
+    b, e, kind = node[:3]
     inner = text[b:e]
-    if kind == "h_tag" or kind == "h_escaped":
-        tag = re.search(r"[A-Za-z][A-Za-z0-9]*", inner.replace("&amp;", "&").replace("&lt;", ""))
+    if kind in ("h_tag", "h_close", "h_escaped"):
+        tag = re.search(r"[A-Za-z][A-Za-z0-9-]*", inner.replace("&amp;", "&").replace("&lt;", "").replace("amp;", "").replace("lt;", ""))
         name = tag.group().lower() if tag else ""
-        close = "/" in inner[: inner.find(tag.group()) if tag else 0]
+        close = kind == "h_close" or "/" in inner[: inner.find(tag.group()) if tag else 0]
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             return e, "\n" if close else "\n" + "#" * int(name[1]) + " "
         if name == "li":
             return e, "" if close else "\n- "
-        if name in ("pre",):
-            return e, "\n```\n"
         return e, "\n" if name in ("p", "div", "br", "tr", "table", "section", "ul", "ol") else " | " if name in ("td", "th") and close else ""
+    if kind == "h_raw":  # code is kept, scripts and styles go
+        code = inner[inner.find(">") + 1 : inner.rfind("<")]
+        return e, "\n```\n" + html.unescape(_ANY_TAG.sub("", code)).strip("\n") + "\n```\n" if inner[1:4].lower() == "pre" else ""
     if kind == "h_entity":
         return e, html.unescape(inner)
-    if kind in ("h_comment", "h_broken", "m_setext", "m_tablesep", "w_linkend", "w_end", "w_row", "w_redirect", "w_magic", "l_env", "l_tie", "m_foot", "m_refdef"):
+    if kind in ("h_comment", "h_decl", "h_broken", "m_setext", "m_tablesep", "m_table", "w_linkend", "w_end", "w_row", "w_redirect", "w_magic", "w_sign", "w_tag", "l_env", "l_tie", "m_foot", "m_refdef"):
         return e, ""
-    if kind in ("m_fence", "m_code", "l_inline", "l_display", "l_dollar", "m_heading", "m_item", "m_task"):
+    if kind in ("m_fence", "m_code", "l_inline", "l_display", "l_dollar", "m_heading", "m_item", "m_order", "m_task"):
         return e, inner
+    if kind == "m_auto":
+        return e, inner[1:-1]
+    if kind == "w_ext":
+        return e, inner[1:-1].partition(" ")[2] or inner[1:-1]
+    if kind in ("w_list", "w_term"):
+        marks = inner.strip(" \t")
+        return e, "  " * (len(marks) - 1) + ("- " if marks[-1] in "*#" else "")
+    if kind == "l_verb":
+        return e, "`" + inner[len(inner) - len(inner.lstrip("\\verb*")) + 1 :].rstrip(inner[-1]) + "`" if node.complete else inner
     if kind == "l_verbatim":
-        return e, "```\n" + re.sub(r"\\(?:begin|end)\{[a-z*]+\}", "", inner).strip("\n") + "\n```" if "verbatim" in inner[:20] or "listing" in inner[:20] else "$$" + re.sub(r"\\(?:begin|end)\{[a-z*]+\}|\\label\{[^}]*\}", "", inner).strip() + "$$"
+        return e, "```\n" + re.sub(r"\\(?:begin|end)\{[a-z*]+\}", "", inner).strip("\n") + "\n```" if "verbatim" in inner[:20] or "listing" in inner[:20] or "minted" in inner[:20] else "$$" + re.sub(r"\\(?:begin|end)\{[a-z*]+\}|\\label\{[^}]*\}", "", inner).strip() + "$$"
     if kind == "w_link" and _FILED.match(inner):
         return e, ""
-    if kind == "w_template":
-        return e if inner.endswith("}}") else b + 2, ""
+    if kind == "w_template":  # one within a line is left out; a longer one loses its marks and keeps its fields
+        return (e, "") if node.complete and "\n" not in inner else (b + 2, "")
     if kind == "w_table":
         return e, ""
     if kind in ("w_header", "w_field", "m_row"):
         return b + 1, ""
     if kind == "l_command":
-        name = inner[1:].split("{")[0].split("[")[0].rstrip("*")
-        if name in ("section", "chapter", "subsection", "subsubsection", "paragraph"):
-            return e, {"chapter": "# ", "section": "# ", "subsection": "## "}.get(name, "### ")
+        name = _NAME.match(inner).group(1)
+        if name in ("part", "section", "chapter", "subsection", "subsubsection", "paragraph"):
+            return e, {"part": "# ", "chapter": "# ", "section": "# ", "subsection": "## "}.get(name, "### ")
         if name == "item":
             return e, "- "
-        if name in ("label", "ref", "cite", "citep", "citet", "eqref", "includegraphics"):
-            close = text.find("}", b)
-            return close + 1 if 0 <= close < b + 200 else e, ""
+        if name in ("label", "ref", "cite", "citep", "citet", "eqref", "includegraphics", "usepackage", "documentclass", "bibliography") and node.complete == 2:
+            return node.extent, ""
         return e, ""
-    return (b + 2, "") if kind in ("m_quote",) else (e, inner)
+    return (e, "") if kind == "m_quote" else (e, inner)
 
 
-def _edits(text: str, node: tuple[int, int, str, int, int]) -> list[tuple[int, int, str]]:
+def _edits(text: str, node: Node) -> list[tuple[int, int, str]]:
     """What to write for which marks of a node: (begin, end, written). What stands between two marks is left to its own nodes."""
-    b, e, kind, _, _ = node
+    b, e, kind = node[:3]
     inner = text[b:e]
-    if kind in _EMPHASIS:
+    if kind in EMPHASIS:
         close = closing(text, node)
         k = b
         while k < close and text[k] in "*_~'":
             k += 1
         return [(b, k, ""), (close, e, "")] if close < e else [(b, k, "")]
     if kind in ("m_link", "m_reflink", "m_image"):
-        return [(b, b + inner.find("[") + 1, ""), (b + inner.find("]"), e, "")]
+        label = inner.find("](") if kind == "m_link" else inner.find("][") if kind == "m_reflink" else inner.find("]")
+        return [(b, b + inner.find("[") + 1, ""), (b + max(label, inner.find("]") if label < 0 else label), e, "")]
     if kind == "w_link" and not _FILED.match(inner):
         close = e - 2 if inner.endswith("]]") else e
         opening = max(b + 2, b + inner.rfind("|", 0, close - b) + 1)
         return [(b, opening, ""), (close, e, "")]
+    if kind == "w_template" and node.complete and "\n" in inner:
+        return [(b, b + 2, ""), (e - 2, e, "")]
     if kind == "w_heading":
         title = inner.strip("= \t\r")
         begin = b + inner.find(title)
         return [(b, begin, "#" * (len(inner) - len(inner.lstrip("="))) + " "), (begin + len(title), e, "")]
+    if kind == "l_command" and node.complete == 2:
+        at, written = _rendered(text, node)
+        return [(b, at, written)] if at == node.extent else [(b, at, written), (node.extent - 1, node.extent, "")]
     at, written = _rendered(text, node)
     return [(b, at, written)]
 
