@@ -70,7 +70,7 @@ class Maker:
         r = self.r
         parts = [self.little() if r.random() < 0.35 else self.plain() if r.random() < 0.12 else self.word() for _ in range(r.randint(3, 14))]
         for _ in range(r.choice((1, 1, 2, 3)) if extra else 0):
-            parts.insert(r.randint(0, len(parts)), extra())
+            parts.insert(r.randint(1, len(parts)), extra())  # not first, where it could be a block
         for k in range(len(parts) - 1):
             if r.random() < 0.08:
                 parts[k] += r.choice(",;:")
@@ -216,7 +216,7 @@ class Maker:
             # Markdown
             "top heading": (MARKDOWN, False, lambda: f"# {r.choice((ws(2, 6), self.name() + ' ' + ws(1, 5)))}"), "heading": (MARKDOWN, False, lambda: f"{'#' * r.randint(1, 6)} {r.choice((ws(), self.name() + ' ' + ws(), n() + ' ' + ws()))}{r.choice(('', '', ' ##'))}"), "underlined heading": (MARKDOWN, False, lambda: (lambda t: f"{t}\n{r.choice('=-') * max(3, len(t) + r.choice((-2, 0, 0, 0, 2)))}")(self.name() + " " + ws(1, 4))), "strong": (MARKDOWN, True, lambda: mark("**")), "emphasis": (MARKDOWN, True, lambda: mark("*")), "underscore strong": (MARKDOWN, True, lambda: f"__{ws(1, 6)}__"), "underscored words": (MARKDOWN, True, lambda: (lambda m: f"{m}{ws(2, 5)}{m}")(r.choice(("_", "__")))), "underscore emphasis": (MARKDOWN, True, lambda: mark("_")), "strong emphasis": (MARKDOWN, True, lambda: mark("***")), "strike": (MARKDOWN, True, lambda: mark("~~")),
             "nested emphasis": (MARKDOWN, True, lambda: f"**{ws()} *{ws()}* {ws()}**"), "link": (MARKDOWN, True, lambda: f"[{ws()}]({self.url()}{r.choice(('', '', f' {chr(34)}{ws()}{chr(34)}'))})"), "reference link": (MARKDOWN, True, lambda: f"[{ws()}][{r.choice((w(), str(r.randint(1, 99)), ''))}]"), "link target": (MARKDOWN, False, lambda: f"[{r.choice((w(), str(r.randint(1, 99))))}]: {self.url()}{r.choice(('', f' {chr(34)}{ws()}{chr(34)}'))}"), "image": (MARKDOWN, True, lambda: f"![{r.choice((ws(), ''))}]({self.url()})"),
-            "footnote mark": (MARKDOWN, True, lambda: f"{w()}[^{r.choice((str(r.randint(1, 99)), w()))}]"), "footnote": (MARKDOWN, False, lambda: f"[^{r.choice((str(r.randint(1, 99)), w()))}]: {self.sentence()}"), "autolink": (MARKDOWN, True, lambda: f"<{r.choice(('https', 'http', 'ftp'))}://{a()}.example/{a()}{r.choice(('', f'?{a()}={r.randint(1, 99)}'))}>"), "inline code": (MARKDOWN, True, lambda: ticks("`")), "double ticks": (MARKDOWN, True, lambda: ticks("``")),
+            "footnote mark": (MARKDOWN, True, lambda: f"{w()}[^{r.choice((str(r.randint(1, 99)), w()))}]"), "footnote": (MARKDOWN, False, lambda: f"[^{r.choice((str(r.randint(1, 99)), w()))}]: {self.sentence()}"), "autolink": (MARKDOWN, True, lambda: f"<{r.choice(('https', 'http', 'ftp'))}://{a()}.example/{a()}{r.choice(('', f'?{a()}={r.randint(1, 99)}'))}>"), "inline code": (MARKDOWN, True, lambda: ticks("`")), "long inline code": (MARKDOWN, True, lambda: "`" + " ".join(r.choice((f"{w()}({n()})", self.identifier(), w(), f"--{w()}", f"{w()}={n()}")) for _ in range(r.choice((3, 8, 20, 60)))) + "`"), "double ticks": (MARKDOWN, True, lambda: ticks("``")),
             "fence": (MARKDOWN, False, lambda: (lambda f: f"{f}{r.choice(('', w(), 'python', 'sh'))}\n{self.code()}\n{f}")(r.choice(("```", "```", "~~~", "````", "~~~~")))), "open fence": (MARKDOWN, False, lambda: f"```{r.choice(('', w()))}\n{self.code()}"), "bullets": (MARKDOWN, False, lambda: (lambda b: lines(lambda: f"{b} {r.choice((ws(2, 6), self.sentence()))}"))(r.choice("-*+"))), "nested bullets": (MARKDOWN, False, lambda: (lambda b: lines(lambda: f"{b} {ws(2, 5)}\n{r.choice(('  ', '    '))}{b} {ws(2, 5)}"))(r.choice("-*+"))), "numbered list": (MARKDOWN, False, numbered),
             "tasks": (MARKDOWN, False, lambda: lines(lambda: f"- [{r.choice(' xX')}] {ws(2, 6)}", 1, 4)), "quote": (MARKDOWN, False, lambda: lines(lambda: f"> {self.sentence()}", 1, 3)), "deep quote": (MARKDOWN, False, lambda: f"> {self.sentence()}\n>> {self.sentence()}"), "table": (MARKDOWN, False, md_table), "open strong": (MARKDOWN, True, lambda: f"**{ws(1, 8)}"), "open strong words": (MARKDOWN, True, lambda: f"**{ws(2, 12)}"), "open strong later": (MARKDOWN, True, lambda: f"**{n()} {ws()}"), "open strike": (MARKDOWN, True, lambda: f"~~{ws()}"), "cut link": (MARKDOWN, True, lambda: f"[{ws()}]({r.choice(('', self.url()))}"), "one bullet": (MARKDOWN, False, lambda: f"{r.choice('-*')} {ws(2, 6)}"),
             # MediaWiki
