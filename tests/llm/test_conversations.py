@@ -2,7 +2,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from weftgraph.llm.conversations import clock_offsets, conversation_states, joined_text, rebuild, visible
+from weftgraph.llm.conversations import clock_offsets, conversation_faults, joined_text, ordered_messages, rebuild, visible
+from weftgraph.llm.p5_queries import p5_turns
+from weftgraph.sources.tables import table
 
 SCHEMA = "row_id long, export_id int, conv_id string, message_id long, reply_to_id long, msg_type string, from_name string, from_id string, date_raw string, date_unixtime string, text string, duty string, stamp string"
 PEOPLE = [("u1", "Ann", "asker"), ("u2", "Bob", "helper"), ("u3", "Sys", "system")]
@@ -24,10 +26,10 @@ ROWS = [
 
 
 def test_states(spark):
-    m, people, _ = frames(spark, ROWS)
-    got = {r.conv_id: r.fault for r in conversation_states(m, people).collect()}
+    m, people, exports = frames(spark, ROWS)
+    got = {r.conv_id: r.fault for r in conversation_faults(ordered_messages(m, exports, people)).collect()}
     assert got == {"good": None, "named": None, "empty": "empty", "broken": "broken", "later": "broken", "self": "broken", "alone": "unanswered", "unknown": "unanswered", "quiet": "unanswered"}
-    assert conversation_states(m.limit(0), people).count() == 0
+    assert conversation_faults(ordered_messages(m.limit(0), exports, people)).count() == 0
 
 
 def test_text_pieces(spark):
@@ -84,3 +86,18 @@ def test_a_full_hour_is_numbered_in_slices(spark):
     rows = [(*message(i, "c", i, None, "u1" if i % 2 else "u2")[:8], None, None, "x", "clash", None) for i in range(1, 5001)]
     got = rebuild(*[frames(spark, rows)[i] for i in (0, 2, 1)]).orderBy("turn_no").collect()
     assert [(r.turn_no, r.row_id) for r in got] == [(i, i) for i in range(1, 5001)]
+
+
+def test_a_cycle_of_senders(spark):
+    """Three senders who answer each other in a ring, each clock behind the one before: no offsets meet all three."""
+    rows = [message(10 * k + j + 1, "c", 10 * k + j + 1, 10 * k + j if j else None, f"u{(j % 3) + 1}", f"{k}-{j}", t=1000 * k - 7 * j) for k in range(6) for j in range(4)]
+    got = {r.message_id: r.turn_no for r in rebuild(*[frames(spark, rows)[i] for i in (0, 2, 1)]).collect()}
+    assert len(got) == len(rows) and all(got[r[3]] > got[r[4]] for r in rows if r[4])
+
+
+def test_no_reply_before_its_message_in_the_tables(spark, sf_dir):
+    turns = p5_turns(spark, sf_dir).select("conv_id", "message_id", "turn_no")
+    replies = table(spark, sf_dir, "chat_messages").where("reply_to_id IS NOT NULL").select("conv_id", "message_id", "reply_to_id").distinct()
+    above = turns.select("conv_id", F.col("message_id").alias("reply_to_id"), F.col("turn_no").alias("before"))
+    met = turns.join(replies, ["conv_id", "message_id"]).join(above, ["conv_id", "reply_to_id"])
+    assert met.count() > 0 and met.where("before >= turn_no").count() == 0

@@ -39,6 +39,12 @@ def test_cuts_prefer_natural_places():
     assert all(text[:c].endswith("\n\n") for c in cut_positions(text)[:-1])
 
 
+def test_a_better_finer_cut_is_seen():
+    """A sentence's end near the middle beats a paragraph's end that leaves a tiny rest."""
+    text = "a" * 1999 + ". " + "b" * 1699 + "\n\n" + "c" * 398
+    assert cut_positions(text) == [2001, len(text)]
+
+
 def test_hard_cut_keeps_clusters():
     text = "👩‍🔬" * 2000
     assert all(text[c - 1] != "‍" and text[c] != "‍" for c in cut_positions(text)[:-1])
@@ -52,7 +58,8 @@ def test_brute_force_cost():
 
     text = "aaa bbb. ccc ddd\n\neee fff. ggg hhh iii\n\njjj kkk lll mmm. nnn"
     limit, overlap = 24, 4
-    pos, cost = _candidates(text, limit - overlap)
+    pos, cost, verdict = _candidates(text, limit - overlap, limit)
+    assert verdict == natural_kind(text, limit)
     even = len(text) / -(-len(text) // (limit - overlap))
     price = dict(zip(pos.tolist(), cost.tolist()))
 
@@ -72,7 +79,7 @@ def test_rows(spark, shuffled):
     df = spark.createDataFrame(rows, "turn_id long, text string, kind string")
     got = split_items(df.select("turn_id", "text"), "turn_id", "text").groupBy("turn_id").agg({"piece": "count", "n_pieces": "max"}).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == {1: (1, 1), 4: (4, 4), 5: (132, 132)}
-    assert shuffled(oversized_kinds(df, "turn_id", "text")) == [(4, "space"), (5, "none")]
+    assert shuffled(oversized_kinds(split_items(df.select("turn_id", "text"), "turn_id", "text"), "turn_id")) == [(4, "space"), (5, "none")]
     assert split_items(df.limit(0), "turn_id", "text").count() == 0
 
 

@@ -1,10 +1,10 @@
 """Message rows to ordered conversations (problem 5).
 
-Every reply is a constraint: the message it names must exist in the conversation and come before it. A constraint whose
-message is missing, is the reply itself or was numbered later cannot be met, and its conversation is rejected. In the
-others the senders' clock offsets are estimated by least squares over the reply constraints that the written times
-violate, until no further one is violated, the times corrected, replies that are still early moved to what they answer,
-and the turns merged into one order.
+Every reply is a constraint: the message it names must exist in the conversation and come before it. The senders' clock
+offsets are estimated by least squares over the reply constraints that the written times violate, until no further one
+is violated, the times corrected, replies that are still early moved to what they answer, and the messages merged into
+one order. A constraint that this order leaves unmet cannot be met by any: its message is missing, is the reply itself or
+was numbered later. Conversations with such a constraint are rejected.
 
 Defined results: rows repeated by row_id count once; rows without conv_id belong to no conversation; a row speaks if its
 type is ``message`` and its text, pieces joined, has a visible character (white space, controls, format characters such
@@ -52,30 +52,23 @@ def with_roles(messages: DataFrame, participants: DataFrame) -> DataFrame:
     return joined.withColumn("duty", F.coalesce("__id_duty", F.when(F.col("from_id").isNull(), F.col("__name_duty")))).drop("__i", "__n", "__id_duty", "__name_duty")
 
 
-def reply_constraints(messages: DataFrame) -> DataFrame:
-    """(conv_id, row_id, message_id, reply_to_id, feasible) of every reply."""
-    replies = messages.where(F.col("reply_to_id").isNotNull()).select("conv_id", "row_id", "message_id", "reply_to_id")
-    numbers = messages.where(F.col("message_id").isNotNull()).select(F.col("conv_id").alias("c"), F.col("message_id").alias("m")).distinct()
-    on = (replies["conv_id"] == numbers["c"]) & (replies["reply_to_id"] == numbers["m"])
-    met = F.col("m").isNotNull() & F.coalesce(F.col("reply_to_id") < F.col("message_id"), F.lit(False))
-    return replies.join(numbers, on, "left").select("conv_id", "row_id", "message_id", "reply_to_id", met.alias("feasible"))
+def speaking_faults(rows: DataFrame) -> DataFrame:
+    """(conv_id, fault) of rows (conv_id, speaks, duty): ``empty``, ``unanswered`` or null."""
+    has = lambda c: F.max(F.when(c, 1).otherwise(0))
+    voices = rows.groupBy("conv_id").agg(has(F.col("speaks")).alias("any"), has(F.col("speaks") & (F.col("duty") == "asker")).alias("asker"), has(F.col("speaks") & (F.col("duty") == "helper")).alias("helper"))
+    return voices.select("conv_id", F.when(F.col("any") == 0, "empty").when((F.col("asker") == 0) | (F.col("helper") == 0), "unanswered").alias("fault"))
 
 
-def conversation_states(messages: DataFrame, participants: DataFrame) -> DataFrame:
-    """(conv_id, fault) of every conversation; fault is ``empty``, ``broken``, ``unanswered`` or null.
+def unmet_constraints(rows: DataFrame) -> DataFrame:
+    """Conversations of ``rows`` (corrected and in order) with a reply that does not stand behind an earlier message it answers.
 
-    Both halves are aggregated before they meet, so a conversation may hold any share of the rows.
+    The order is that of the turns. A message that is missing, or was numbered later, is one that no correction of the
+    clocks can put before its reply.
     """
-    once = messages.where(F.col("conv_id").isNotNull()).dropDuplicates(["row_id"])
-    speaks = (F.col("msg_type") == "message") & visible(joined_text(F.col("text")))
-    spoken = with_roles(once.select("conv_id", "from_id", "from_name", F.coalesce(speaks, F.lit(False)).alias("speaks")), participants)
-    has = lambda c: F.max(F.when(c, 1).otherwise(0))
-    voices = spoken.groupBy("conv_id").agg(has(F.col("speaks")).alias("any"), has(F.col("speaks") & (F.col("duty") == "asker")).alias("asker"), has(F.col("speaks") & (F.col("duty") == "helper")).alias("helper"))
-    # The same constraints as reply_constraints(), as flags: a reply meets its message in the bucket of the pair.
-    bad = reply_constraints(once.select("conv_id", "row_id", "message_id", "reply_to_id")).where(~F.col("feasible")).select(F.col("conv_id").alias("__c")).distinct()
-    joined = voices.join(bad, voices["conv_id"] == bad["__c"], "left")
-    fault = F.when(F.col("any") == 0, "empty").when(F.col("__c").isNotNull(), "broken").when((F.col("asker") == 0) | (F.col("helper") == 0), "unanswered")
-    return joined.select("conv_id", fault.alias("fault"))
+    replies = rows.where("reply_to_id IS NOT NULL").select("conv_id", "row_id", "message_id", "reply_to_id", F.struct("corrected_ms", "message_id").alias("place"))
+    targets = rows.where("message_id IS NOT NULL").groupBy(F.col("conv_id").alias("c"), F.col("message_id").alias("m")).agg(F.min(F.struct("corrected_ms", "message_id")).alias("before"))
+    met = F.coalesce((F.col("m") < F.col("message_id")) & (F.col("before") < F.col("place")), F.lit(False))
+    return replies.join(targets, (F.col("conv_id") == F.col("c")) & (F.col("reply_to_id") == F.col("m")), "left").where(~met).select("conv_id").distinct()
 
 
 def _fitted(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +109,7 @@ def clock_offsets(timed: DataFrame) -> DataFrame:
     the offsets violate for the first time join the others, and the conversation is fitted again until none is new.
     Only sender pairs of a conversation meet in a task, never its messages.
     """
-    a = timed.select("conv_id", "reply_to_id", F.col("sender").alias("s"), F.col("utc_ms").alias("t")).where("reply_to_id IS NOT NULL AND t IS NOT NULL")
+    a = timed.where("reply_to_id < message_id AND utc_ms IS NOT NULL").select("conv_id", "reply_to_id", F.col("sender").alias("s"), F.col("utc_ms").alias("t"))
     b = timed.select(F.col("conv_id").alias("c"), F.col("message_id").alias("m"), F.col("sender").alias("r"), F.col("utc_ms").alias("u")).where("u IS NOT NULL")
     met = a.join(b, (F.col("conv_id") == F.col("c")) & (F.col("reply_to_id") == F.col("m"))).where(F.col("s") != F.col("r"))
     wants = cut(met.select("conv_id", "s", "r", (F.col("u") - F.col("t") + MIN_GAP_MS).cast("double").alias("want")))
@@ -170,7 +163,7 @@ def in_reply_order(rows: DataFrame) -> DataFrame:
     """
     values = rows.where("message_id IS NOT NULL").groupBy("conv_id", F.col("message_id").alias("n")).agg(F.max("corrected_ms").alias("v"))
     above = values.select(F.col("conv_id").alias("c"), F.col("n").alias("m"), "v")
-    replies = rows.where("reply_to_id IS NOT NULL").select("conv_id", F.col("message_id").alias("n"), F.col("reply_to_id").alias("a"), "corrected_ms")
+    replies = rows.where("reply_to_id < message_id").select("conv_id", F.col("message_id").alias("n"), F.col("reply_to_id").alias("a"), "corrected_ms")
     early = cut(replies.join(above, (F.col("conv_id") == F.col("c")) & (F.col("a") == F.col("m"))).where("v > corrected_ms").select("conv_id").distinct())
     if early.isEmpty():
         return rows
@@ -183,21 +176,38 @@ def in_reply_order(rows: DataFrame) -> DataFrame:
         edges = cut(edges.join(edges.select("conv_id", F.col("n").alias("a"), F.col("a").alias("b")), ["conv_id", "a"]).select("conv_id", "n", F.col("b").alias("a")).distinct())
     above = values.select(F.col("conv_id").alias("__c"), F.col("n").alias("__n"), F.col("v").alias("__v"))
     joined = rows.join(above, (rows["conv_id"] == F.col("__c")) & (rows["reply_to_id"] == F.col("__n")), "left")
-    return joined.withColumn("corrected_ms", F.greatest("corrected_ms", "__v")).drop("__c", "__n", "__v")
+    raised = F.when(F.col("reply_to_id") < F.col("message_id"), F.greatest("corrected_ms", "__v")).otherwise(F.col("corrected_ms"))
+    return joined.withColumn("corrected_ms", raised).drop("__c", "__n", "__v")
 
 
-def rebuild(messages: DataFrame, exports: DataFrame, participants: DataFrame) -> DataFrame:
-    """The turns of every sound conversation: conv_id, turn_no, row_id, role, sender, utc_ms, corrected_ms, text."""
-    sound = conversation_states(messages, participants).where(F.col("fault").isNull()).select(F.col("conv_id").alias("__k"))
-    once = messages.where(F.col("conv_id").isNotNull()).dropDuplicates(["row_id"])
-    kept = once.join(sound, once["conv_id"] == sound["__k"], "left_semi").withColumn("stamp", message_stamp())
-    timed = with_instants(kept, exports, "stamp").withColumns({"sender": F.coalesce("from_id", "from_name", F.lit("")), "body": joined_text(F.col("text"))})
-    roles = with_roles(timed.select("conv_id", "row_id", "message_id", "reply_to_id", "msg_type", "from_id", "from_name", "sender", "utc_ms", "body"), participants)
-    base = cut(roles)
+def ordered_messages(messages: DataFrame, exports: DataFrame, participants: DataFrame) -> DataFrame:
+    """Every message once with duty, sender, body, speaks, utc_ms and ``corrected_ms``, by which its conversation is ordered."""
+    once = messages.where(F.col("conv_id").isNotNull()).dropDuplicates(["row_id"]).withColumn("stamp", message_stamp())
+    timed = with_instants(once, exports, "stamp").withColumns({"sender": F.coalesce("from_id", "from_name", F.lit("")), "body": joined_text(F.col("text"))})
+    speaks = F.coalesce((F.col("msg_type") == "message") & visible(F.col("body")), F.lit(False))
+    base = cut(with_roles(timed.select("conv_id", "row_id", "message_id", "reply_to_id", "from_id", "from_name", "sender", "utc_ms", "body", speaks.alias("speaks")), participants))
     offsets = clock_offsets(base).select(F.col("conv_id").alias("__c"), F.col("sender").alias("__s"), "offset_ms")
     moved = base.join(offsets, (base["conv_id"] == F.col("__c")) & (base["sender"] == F.col("__s")), "left")
     corrected = cut(with_neighbours_times(cut(moved.withColumn("corrected_ms", F.col("utc_ms") + F.coalesce("offset_ms", F.lit(0))).drop("__c", "__s"))))
-    fixed = in_reply_order(corrected).where((F.col("msg_type") == "message") & visible(F.col("body")))
+    return cut(in_reply_order(corrected))
+
+
+def conversation_faults(ordered: DataFrame) -> DataFrame:
+    """(conv_id, fault) of every conversation of ordered_messages(): ``empty``, ``broken``, ``unanswered`` or null.
+
+    Broken are those with a reply constraint that the corrected order leaves unmet. Both halves are aggregated before they
+    meet, so a conversation may hold any share of the rows.
+    """
+    unmet = unmet_constraints(ordered).select(F.col("conv_id").alias("__c"))
+    joined = speaking_faults(ordered).join(unmet, F.col("conv_id") == F.col("__c"), "left")
+    return joined.select("conv_id", F.when(F.col("fault") == "empty", F.col("fault")).when(F.col("__c").isNotNull(), "broken").otherwise(F.col("fault")).alias("fault"))
+
+
+def rebuild(messages: DataFrame, exports: DataFrame, participants: DataFrame) -> DataFrame:
+    """The turns of every sound conversation: conv_id, turn_no, row_id, role, sender, utc_ms, corrected_ms, text."""
+    ordered = ordered_messages(messages, exports, participants)
+    sound = conversation_faults(ordered).where(F.col("fault").isNull()).select(F.col("conv_id").alias("__k"))
+    fixed = ordered.join(sound, ordered["conv_id"] == sound["__k"], "left_semi").where("speaks")
     role = F.when(F.col("duty") == "asker", "user").when(F.col("duty") == "helper", "assistant").when(F.col("duty") == "system", "system").otherwise("other")
     turns = fixed.select("conv_id", "row_id", "message_id", role.alias("role"), "sender", "utc_ms", "corrected_ms", F.col("body").alias("text"))
     order = [F.col("corrected_ms"), F.col("message_id").asc_nulls_last(), F.col("row_id")]

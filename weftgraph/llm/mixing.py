@@ -6,7 +6,9 @@ lookup is the table of rates, one row per source.
 
 Defined results: sources are compared trimmed and lower-cased; documents without source count in the total only;
 documents repeated by id count once; a source without tokens or above its cap is reported as short; an empty corpus
-gives every wanted source as short; a null weight counts as 0, a null cap as none.
+gives every wanted source as short; a null weight counts as 0, a null cap as none; of a target repeated with other values
+the largest weight and the smallest cap count; targets that differ in case or blanks only share their source's documents,
+with the sum of their rates under the smallest cap.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def source_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target source: its tokens, wanted tokens, repetition rate (capped) and whether it falls short."""
     per_source = sized.groupBy(F.col("source").alias("s")).agg(F.sum("tokens").alias("tokens"))
     total = per_source.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
-    weights = targets.select("source", F.coalesce("target_weight", F.lit(0.0)).alias("target_weight"), "max_repeats").dropDuplicates(["source"])
+    weights = targets.groupBy("source").agg(F.max(F.coalesce("target_weight", F.lit(0.0))).alias("target_weight"), F.min("max_repeats").alias("max_repeats"))
     sum_weight = weights.agg(F.sum("target_weight")).scalar()
     joined = weights.join(per_source, F.lower(F.trim(weights["source"])) == per_source["s"], "left").withColumns({"sum_weight": sum_weight, "total": total})
     tokens = F.coalesce("tokens", F.lit(0)).cast("long")
@@ -44,7 +46,8 @@ def source_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mixed(sized: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
     """(doc_id, source, tokens, copies) of every document that is emitted at least once."""
-    keyed = rates.where("rate > 0").select(F.lower(F.trim("source")).alias("source"), "rate").dropDuplicates(["source"])
+    named = rates.where("rate > 0").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.sum("rate").alias("r"), F.min("max_repeats").cast("double").alias("cap"))
+    keyed = named.select("source", F.least("r", F.coalesce("cap", "r")).alias("rate"))
     picked = sized.join(keyed, "source")
     whole = F.floor("rate")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.conversations import conversation_states, rebuild
+from weftgraph.llm.conversations import conversation_faults, ordered_messages, rebuild
 from weftgraph.sources.tables import table
 
-_STATE = ("row_id", "conv_id", "message_id", "reply_to_id", "msg_type", "from_name", "from_id", "text")
+
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf_dir, "chat_messages"), table(spark, sf_dir, "exports"), table(spark, sf_dir, "participants")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every faulty conversation with the first fault that fits."""
-    return conversation_states(table(spark, sf_dir, "chat_messages", _STATE), table(spark, sf_dir, "participants")).where(F.col("fault").isNotNull())
+    """Every conversation that the rebuilding rejects, with the first fault that fits."""
+    return conversation_faults(ordered_messages(*_tables(spark, sf_dir))).where(F.col("fault").isNotNull())
 
 
 def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered turns of the sound conversations."""
-    return rebuild(table(spark, sf_dir, "chat_messages"), table(spark, sf_dir, "exports"), table(spark, sf_dir, "participants"))
+    return rebuild(*_tables(spark, sf_dir))
 
 
 QUERIES = {"p5_found": p5_found, "p5_turns": p5_turns}

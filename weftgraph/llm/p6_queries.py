@@ -15,9 +15,9 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Oversized turns with the natural place that suffices, and files whose chunk numbers do not agree."""
+    """Turns that the splitter cuts, with the natural place that suffices, and files whose chunk numbers do not agree."""
     over = _turns(spark, sf_dir).where(F.length("text") > LIMIT).dropDuplicates(["turn_id"])
-    turns = oversized_kinds(over, "turn_id", "text").select(F.lit("turn").alias("item_kind"), F.col("turn_id").cast("string").alias("item_key"), F.col("kind").alias("verdict"))
+    turns = oversized_kinds(split_items(over, "turn_id", "text"), "turn_id").select(F.lit("turn").alias("item_kind"), F.col("turn_id").cast("string").alias("item_key"), F.col("kind").alias("verdict"))
     files = broken_chunk_counts(table(spark, sf_dir, "checkpoints", ("cp_key", "file_path", "chunk_index", "total_chunks"))).where(~F.col("ok"))
     return turns.unionByName(files.select(F.lit("file").alias("item_kind"), F.col("file_path").alias("item_key"), F.lit("chunks").alias("verdict")))
 

@@ -14,8 +14,9 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that must be cut, with the least number of pieces."""
-    return _pieces(spark, sf_dir).where(F.col("tokens") > CAPACITY).select("doc_id", "min_pieces")
+    """Documents that the packing cuts, with the pieces it places."""
+    placed = pack(_pieces(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("min_pieces"))
+    return placed.where("min_pieces > 1")
 
 
 def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Dynamic programming over boundary positions: every cut pays a penalty by the kind of its place (paragraph, line,
 sentence, white space, none) and every piece its squared distance from an even size; a piece, with the overlap it
-repeats from the one before, may not exceed the limit. Boundaries of the finer kinds enter only inside stretches the
-coarser ones leave too long, so the program stays small for texts of any length. Lengths are code points.
+repeats from the one before, may not exceed the limit. All boundaries of all kinds are candidates; a piece begins at most
+a limit before its end, so the work is linear in the length for a given limit. Lengths are code points.
 
 Defined results: null and blank texts give no piece; a text within the limit is one piece; a stretch without any
 boundary is cut hard, not inside a carriage return and line feed nor before a joiner or combining mark if the limit
@@ -61,57 +61,66 @@ def _hard(text: str, at: int, least: int) -> int:
     return at
 
 
-def _candidates(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cut positions (after the separator) and penalties such that no two neighbours are more than ``step`` apart."""
-    at, cost = [0, len(text)], {0: 0.0, len(text): 0.0}
-    for k, (_, _, penalty) in enumerate(KINDS):
-        wide = [(a, b) for a, b in zip(at, at[1:]) if b - a > step]
-        if not wide and k:
-            break
-        for a, b in wide or ([(0, len(text))] if not k else []):
-            for _, e in boundaries(text, k, a, b):
-                if a < e < b and e not in cost:
-                    cost[int(e)] = penalty
-        at = sorted(cost)
-    for a, b in [(a, b) for a, b in zip(at, at[1:]) if b - a > step]:
+def _candidates(text: str, step: int, limit: int) -> tuple[np.ndarray, np.ndarray, str]:
+    """All cut positions (behind a separator) with the least penalty of a kind that has a place there, and the verdict.
+
+    The verdict is the first kind whose places alone leave no stretch over the limit. Where even the finest places leave
+    more than ``step``, hard cuts come in between.
+    """
+    cost = np.full(len(text) + 1, np.inf)
+    verdict = "none"
+    for kind in range(len(KINDS) - 1, -1, -1):  # a coarser kind overwrites a finer one
+        b = boundaries(text, kind)
+        cost[b[:, 1]] = np.where(b[:, 1] < len(text), KINDS[kind][2], 0.0)
+        if (np.append(b[:, 0], len(text)) - np.append(0, b[:, 1])).max() <= limit:
+            verdict = KINDS[kind][0]
+    cost[1 : min(limit - step + 1, len(text))] = np.inf  # a first piece shorter than the overlap would be repeated whole
+    cost[[0, -1]] = 0.0
+    at = np.flatnonzero(np.isfinite(cost))
+    for k in np.flatnonzero(np.diff(at) > step):
+        a, b = int(at[k]), int(at[k + 1])
         while b - a > step:
-            a = _hard(text, a + step, a + 1)
-            cost.setdefault(a, HARD)
-    at = sorted(cost)
-    return np.array(at, dtype=np.int64), np.array([cost[p] for p in at])
+            a = _hard(text, a + step, a + step // 2)
+            cost[a] = HARD
+    at = np.flatnonzero(np.isfinite(cost))
+    return at, cost[at], verdict
 
 
-def cut_positions(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
-    """Ends of the pieces; the last is the text's length."""
-    n = len(text)
+def split_plan(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[int], str]:
+    """Ends of the pieces of least total cost, the last of them the text's length; and the verdict of _candidates()."""
+    n, step = len(text), limit - overlap
+    pos, cost, verdict = _candidates(text, step, limit)
     if n <= limit:
-        return [n]
-    step = limit - overlap
-    pos, cost = _candidates(text, step)
+        return [n], verdict
     even = n / -(-n // step)
     best, back = np.full(len(pos), np.inf), np.zeros(len(pos), dtype=np.int64)
     best[0] = 0.0
-    low = 0
+    lows = np.searchsorted(pos, pos - step)  # a piece repeats ``overlap`` characters from before its first cut
+    lows[pos <= limit] = 0  # the first repeats nothing, and no cut stands within the overlap
     for i in range(1, len(pos)):
-        reach = pos[i] - limit  # the first piece repeats nothing
-        while pos[low] < reach or (low and pos[i] - pos[low] > step) or (not low and len(pos) > 1 and pos[i] > limit):
-            low += 1
-        own = pos[i] - pos[low:i]
-        total = best[low:i] + ((own - even) / even) ** 2 + cost[i]
+        low = lows[i]
+        total = best[low:i] + ((pos[i] - pos[low:i] - even) / even) ** 2
         j = int(total.argmin())
-        best[i], back[i] = total[j], low + j
+        best[i], back[i] = total[j] + cost[i], low + j
     cuts, i = [], len(pos) - 1
     while i:
         cuts.append(int(pos[i]))
         i = int(back[i])
-    return cuts[::-1]
+    return cuts[::-1], verdict
+
+
+def cut_positions(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
+    """Ends of the pieces; the last is the text's length."""
+    return split_plan(text, limit, overlap)[0]
+
+
+def _spans(cuts: list[int], overlap: int) -> list[tuple[int, int]]:
+    return list(zip([0] + [max(0, c - overlap) for c in cuts[:-1]], cuts))
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """(begin, end) of every piece."""
-    cuts = cut_positions(text, limit, overlap)
-    begins = [0] + [max(0, c - overlap) for c in cuts[:-1]]
-    return list(zip(begins, cuts))
+    return _spans(cut_positions(text, limit, overlap), overlap)
 
 
 def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -130,17 +139,17 @@ def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
         for batch in batches:
             out = []
             for k, t in zip(batch[key], batch["__t"]):
-                spans, kind = pieces(t, limit, overlap), natural_kind(t, limit)
+                cuts, kind = split_plan(t, limit, overlap)
+                spans = _spans(cuts, overlap)
                 out += [(k, kind, i + 1, len(spans), a, b, t[a:b]) for i, (a, b) in enumerate(spans)]
             yield pd.DataFrame(out, columns=[key, "kind", "piece_no", "n_pieces", "begin", "end", "piece"])
 
     return whole.unionByName(rows.where(F.length("__t") > limit).mapInPandas(run, schema))
 
 
-def oversized_kinds(df: DataFrame, key: str, text: str, limit: int = LIMIT) -> DataFrame:
-    """(key, kind): the natural place that suffices for each text over the limit, from the splitter's own boundaries."""
-    verdict = F.pandas_udf(lambda s: s.map(lambda t: natural_kind(t, limit)), "string")
-    return df.where(F.length(text) > limit).select(key, verdict(F.col(text)).alias("kind"))
+def oversized_kinds(pieces_: DataFrame, key: str) -> DataFrame:
+    """(key, kind) of the items that split_items() had to cut."""
+    return pieces_.where("n_pieces > 1 AND piece_no = 1").select(key, "kind")
 
 
 def broken_chunk_counts(checkpoints: DataFrame, key: str = "cp_key") -> DataFrame:
