@@ -49,6 +49,18 @@ CASES = [
     ("   ", "UTC", None, "none"),
     ("yesterday 14:05", "UTC", None, "none"),
     ("x" * 200_000, "UTC", None, "none"),
+    ("Mayor 5, 2024 10:00 UTC", None, None, "none"),
+    ("Marble 5, 2024 10:00 UTC", None, None, "none"),
+    ("5 Janitor 2024 10:00 UTC", None, None, "none"),
+    ("Sunny, 31 Mar 2024 01:48:59 +0100", None, None, "none"),
+    ("Sept. 5, 2024 10:00 UTC", None, None, "2024-09-05T10:00:00.000Z"),
+    ("Sunday, 31 March 2024 01:48:59 +0100", None, None, "2024-03-31T00:48:59.000Z"),
+    ("2024-03-31 01:48:59 (whatever)", "UTC", None, "none"),
+    ("2024-W01-1T10:00Z", None, None, "2024-01-01T10:00:00.000Z"),
+    ("2020-W53-7 10:00", "UTC", None, "2021-01-03T10:00:00.000Z"),
+    ("2021-W53-1T10:00Z", None, None, "none"),
+    ("2021-W00-1T10:00Z", None, None, "none"),
+    ("2024-03-31", "UTC", None, "none"),
 ]
 
 

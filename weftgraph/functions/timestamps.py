@@ -4,6 +4,9 @@ An ordered cascade of anchored patterns; the first that matches the whole stamp
 possible date and time. Stamps without a zone take the source's zone; a local time that the zone's clock showed twice
 or never has no single instant and gives null.
 
+Notations: ISO dates, ordinal dates and weeks, mail and script dates, dates with dots or slashes, each with a clock, and Unix
+time. Month and weekday names are English, whole or in their usual abbreviations; a date without a clock is no instant.
+
 Defined results: a null or blank stamp, an unknown notation, an impossible date (31 June, hour 25, second 60, 13 PM, a
 weekday that is not the date's), an unknown zone or zone abbreviation, and a slash date that can be read in two ways all
 give null. Digits finer than a millisecond are cut off, coarser ones filled with zeros. Nothing here depends on the
@@ -32,14 +35,16 @@ ZONE_MINUTES = {
 _KNOWN_ZONES = ", ".join(f"'{z}'" for z in sorted(available_timezones()))
 _SEP = "\u0001"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:[   ]?([AaPp])\.?[Mm]\.?)?"
-_ZONE = r"(?: ?(?:GMT|UTC)?(Z|[+-]\d{2}(?::?\d{2})?|[A-Z]{2,5}))?(?: \([^()]*\))?"
-_DAY = r"(?:(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? )?"
-_MON = r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?"
+# A zone may be followed by its name in brackets.
+_ZONE = r"(?: ?(?:GMT|UTC)?(Z|[+-]\d{2}(?::?\d{2})?|[A-Z]{2,5})(?: \([A-Za-z][A-Za-z0-9 /_+:.'-]*\))?)?"
+_DAY = r"(?:(Mon(?:day)?|Tue(?:s|sday)?|Wed(?:nesday)?|Thu(?:r|rs|rsday)?|Fri(?:day)?|Sat(?:urday)?|Sun(?:day)?)\.?,? )?"
+_MON = r"(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?"
 
 # The cascade: kind, pattern, and the group numbers of year, month, day, weekday and of the first clock group (hour,
 # minute, second, fraction, half of the day, zone follow each other). "slash" holds its three numbers as written.
 _CASCADE = (
     ("iso", rf"(\d{{4}})-(\d{{2}})-(\d{{2}})[T ]{_CLOCK}{_ZONE}", (1, 2, 3, 0, 4)),
+    ("week", rf"(\d{{4}})-W(\d{{2}})-(\d)[T ]{_CLOCK}{_ZONE}", (1, 2, 3, 0, 4)),
     ("yday", rf"(\d{{4}})-(\d{{3}})[T ]{_CLOCK}{_ZONE}", (1, 0, 2, 0, 3)),
     ("mail", rf"{_DAY}(\d{{1,2}}) {_MON} (\d{{4}}),? {_CLOCK}{_ZONE}", (4, 3, 2, 1, 5)),
     ("script", rf"{_DAY}{_MON} (\d{{1,2}}),? (\d{{4}}),? (?:at )?{_CLOCK}{_ZONE}", (4, 2, 3, 1, 5)),
@@ -120,10 +125,16 @@ def _written(parts: Column, day_order: Column) -> Column:
         jan1, next1 = _days(n["y"], F.lit(1), F.lit(1)), _days(n["y"] + 1, F.lit(1), F.lit(1))
         return F.when((n["d"] >= 1) & (jan1 + n["d"] - 1 < next1), jan1 + n["d"] - 1)
 
+    def week(n: Column) -> Column:
+        """Week 1 is the one with 4 January; the last week is the one before the next year's first."""
+        monday = lambda y: _days(y, F.lit(1), F.lit(4)) - F.pmod(_days(y, F.lit(1), F.lit(4)) + 3, F.lit(7))
+        at = monday(n["y"]) + (n["m"] - 1) * 7
+        return F.when((n["m"] >= 1) & n["d"].between(1, 7) & (at < monday(n["y"] + 1)), at + n["d"] - 1)
+
     def civil(n: Column) -> Column:
         hour = F.when(half == "", F.when(n["h"] <= 23, n["h"])).when(n["h"].between(1, 12), n["h"] % 12 + F.when(half == "p", 12).otherwise(0))
         clock = F.when((n["mi"] <= 59) & (n["s"] <= 59), (hour * 60 + n["mi"]) * 60 + n["s"]).cast("long") * 1000 + n["f"]
-        days = F.when(kind == "slash", slash(n)).when(kind == "yday", yday(n)).otherwise(_days(n["y"], n["month"], n["d"]))
+        days = F.when(kind == "slash", slash(n)).when(kind == "yday", yday(n)).when(kind == "week", week(n)).otherwise(_days(n["y"], n["month"], n["d"]))
         right = lambda d: F.when(n["w"].isNull() | (F.pmod(d + 3, F.lit(7)) + 1 == n["w"]), d.cast("long") * 86_400_000 + clock)
         return let(days, right)
 
