@@ -51,3 +51,13 @@ def test_names(spark, shuffled):
     assert shuffled(canonical_groups(df, "run", "names")) == sorted([("r", n, "a") for n in "abc"] + [("s", n, "c") for n in "cz"] + [("r", n, "") for n in ("", "é", "Z")])
     assert canonical_groups(df.limit(0), "run", "names").count() == 0
     assert shuffled(canonical_groups(df.repartition(7), "run", "names")) == shuffled(canonical_groups(df.coalesce(1), "run", "names"))
+
+
+def test_groups_with_colliding_ids_are_solved_again(spark, shuffled):
+    """Ids of nine bits: names of different groups, and names of one match, meet in an id."""
+    rng = random.Random(9)
+    rows = [("r", [f"g{g}-{rng.randrange(4)}", f"g{g}-{rng.randrange(4)}"]) for g in range(12) for _ in range(3)]
+    df = spark.createDataFrame(rows, "run string, names array<string>")
+    assert shuffled(canonical_groups(df, "run", "names", bits=9)) == shuffled(canonical_groups(df, "run", "names"))
+    pair = spark.createDataFrame([("r", ["a", "b"]), ("r", ["c", "d"])], "run string, names array<string>")
+    assert shuffled(canonical_groups(pair, "run", "names", bits=4)) == [("r", "a", "a"), ("r", "b", "a"), ("r", "c", "c"), ("r", "d", "c")]

@@ -1,6 +1,6 @@
 import pytest
 
-from weftgraph.llm.transcripts import clean_text, dirt_mask, found_dirt, KINDS, speaker_turns
+from weftgraph.llm.transcripts import KINDS, clean_text, dirt_mask, found_dirt, intervals, speaker_label, speaker_turns
 
 SCHEMA = "row_id long, recording_id string, start_s double, end_s double, speaker string, corrected string, parakeet string, whisper string, lang string, dirt string, who string, part int"
 
@@ -78,3 +78,26 @@ def test_whole_notes(text, want, clean):
 
 def test_many_open_brackets_around_noise():
     assert kinds("music, 3 < ( " * 60_000 + "[music, applause]") == {"sound"}
+
+
+def test_no_fixed_distances():
+    assert "inline_label" in {k for _, _, k in intervals(" " * 500 + "SPEAKER 1234: hello there")}
+    assert clean_text("hello *" + "(" * 60 + "laughs" + ")" * 60 + "* again").split()[0] == "hello"
+    assert {k for _, _, k in intervals("so 00:00:01.000" + " " * 300 + "--> 00:00:02.000 here")} == {"timestamp"}
+
+
+def test_labels_of_many_digits(spark):
+    df = spark.createDataFrame([(1, "spk 7"), (2, "Speaker_123"), (3, "S00042"), (4, "nobody"), (5, None), (6, "speaker 99999999999")], "i int, s string")
+    got = [r.l for r in df.select("i", speaker_label(df["s"]).alias("l")).orderBy("i").collect()]
+    assert got == ["SPEAKER_07", "SPEAKER_123", "SPEAKER_42", None, None, "SPEAKER_99999999999"]
+
+
+def test_a_long_turn_comes_in_parts(spark):
+    rows = [(i, "r", float(i), float(i) + 1, "SPEAKER_01" if i < 40 else "SPEAKER_02", f"w{i}.", None, None, "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, recording_id string, start_s double, end_s double, speaker string, corrected string, parakeet string, whisper string, lang string")
+    whole = speaker_turns(df).orderBy("turn_no").collect()
+    assert [(r.turn_no, r.part_no, r.n_rows) for r in whole] == [(1, 1, 40), (2, 1, 20)]
+    parts = speaker_turns(df, slice_s=7, part_rows=5).orderBy("turn_no", "part_no").collect()
+    assert max(r.n_rows for r in parts) <= 7 and {r.turn_no for r in parts} == {1, 2}
+    for r in whole:
+        assert " ".join(p.text for p in parts if p.turn_no == r.turn_no) == r.text

@@ -94,30 +94,46 @@ def connected_groups(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, int
     return roots.select(F.col("c").alias("id"), F.col("p").alias("root")), ids
 
 
-def canonical_groups(matches: DataFrame, scope: str, names: str) -> DataFrame:
+def canonical_groups(matches: DataFrame, scope: str, names: str, bits: int = 64) -> DataFrame:
     """``matches`` with a scope column and an array of names that one match links, to (scope, name, group_name).
 
     One row for each name in a group of at least two names; ``group_name`` is the smallest name of the group in code
     point order. Names are equal only if identical and only within their scope. Matches with a null scope and null
-    names are skipped. Ids are 64-bit hashes of (scope, name); should two names share one, the job runs again with
-    another seed, so a result never rests on a collision.
+    names are skipped. Ids are hashes of (scope, name), of ``bits`` bits. Groups in which two names have met in one id
+    are taken out and solved again on their own with other hashes, until none is left: a result never rests on a
+    collision, and one costs a rerun of its group only.
     """
     spark = matches.sparkSession
     linked = matches.where(F.col(scope).isNotNull()).select(F.col(scope).alias("s"), F.array_distinct(F.filter(F.col(names), lambda x: x.isNotNull())).alias("n")).where(F.size("n") > 1)
-    for seed in range(8):
+    done: list[DataFrame] = []
+    seed = 0
+    while True:
         scratch = Scratch(spark, "groups")
-        id_of = lambda name: F.xxhash64(F.lit(seed), F.col("s"), name)  # noqa: E731, B023
+        id_of = lambda name: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("s"), name), 64 - bits) if bits < 64 else F.xxhash64(F.lit(seed), F.col("s"), name)  # noqa: E731, B023
         pairs = linked.select(F.explode(F.transform(F.slice("n", 2, 1 << 30), lambda x: F.struct(id_of(F.get("n", 0)).alias("u"), id_of(x).alias("v")))).alias("e")).select("e.*")
         groups, ids = connected_groups(pairs, scratch)
         groups, _ = scratch.save(groups, "groups")
         scratch.release()
         every = linked.select("s", F.explode("n").alias("name")).withColumn("id", id_of(F.col("name")))
         named = every.repartition("id").distinct()  # the join below needs the same partitioning
-        labelled, seen = scratch.save(named.join(groups, "id").select("s", "name", "root"), "labelled", n=F.count(F.lit(1)))
+        # Every name is linked to another, so one without a root has lost its link to a name of the same id.
+        labelled, seen = scratch.save(named.join(groups, "id", "left").select("s", "name", "root"), "labelled", n=F.count(F.lit(1)), rootless=F.sum(F.col("root").isNull().cast("long")))
         del named, groups
         scratch.drop("groups")
         scratch.release()
-        if seen["n"] == ids:
-            least = labelled.groupBy("root").agg(F.min("name").alias("group_name"))
-            return labelled.join(least, "root").select(F.col("s").alias(scope), F.col("name"), "group_name")
-    raise RuntimeError("eight hash seeds in a row collided")
+        clash = seen["n"] != ids or seen["rootless"]
+        if clash:
+            shared = labelled.withColumn("id", id_of(F.col("name"))).groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("r")).where("k > 1 OR r IS NULL")
+            bad, _ = scratch.save(shared.select(F.col("r").alias("b")).where("b IS NOT NULL").distinct(), "bad")
+            again = labelled.join(bad, labelled["root"] == bad["b"], "left_semi").unionByName(labelled.where("root IS NULL")).select(F.col("s").alias("z"), F.col("name").alias("m"))
+            labelled = labelled.where("root IS NOT NULL").join(bad, labelled["root"] == bad["b"], "left_anti")
+        least = labelled.groupBy("root").agg(F.min("name").alias("group_name"))
+        done.append(labelled.join(least, "root").select(F.col("s").alias(scope), F.col("name"), "group_name"))
+        if not clash:
+            break
+        linked, _ = scratch.save(linked.join(again, (F.col("s") == F.col("z")) & (F.get("n", 0) == F.col("m")), "left_semi"), "again")
+        seed += 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

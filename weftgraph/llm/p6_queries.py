@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.splitting import LIMIT, broken_chunk_counts, oversized_kinds, split_items
+from weftgraph.llm.splitting import LIMIT, OVERLAP, broken_chunk_counts, oversized_kinds, split_items
 from weftgraph.sources.tables import table
 
 
@@ -31,6 +31,15 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.join(place, "turn_id")
 
 
+def p6_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each turn add up to, the overlaps left out, and whether each is in the limit and behind the one before."""
+    once = _turns(spark, sf_dir).dropDuplicates(["turn_id"])
+    sums = split_items(once, "turn_id", "text").groupBy("turn_id").agg(
+        (F.sum(F.length("piece")) - OVERLAP * (F.count(F.lit(1)) - 1)).alias("n_chars"), F.max(F.length("piece") > LIMIT).alias("over"), F.max("end").cast("long").alias("ends_at"), F.max("n_pieces").cast("long").alias("n_pieces"), F.count_distinct("end").alias("n_ends")
+    )
+    return sums.select("turn_id", "n_chars", "over", "ends_at", (F.col("n_pieces") == F.col("n_ends")).alias("all_there"))
+
+
 _FOUND = r"""
 WITH big AS (SELECT turn_id, any_value(text) AS t FROM turns WHERE length(text) > 4000 GROUP BY 1),
 m AS (SELECT turn_id,
@@ -48,5 +57,9 @@ SELECT 'turn' AS item_kind, turn_id::VARCHAR AS item_key,
 UNION ALL SELECT 'file', file_path, 'chunks' FROM g
 """
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces}
-ORACLES = {"p6_found": _FOUND}
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p6_covered": p6_covered}
+_COVERED = r"""
+WITH t AS (SELECT turn_id, any_value(text) AS t FROM turns WHERE turn_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)
+SELECT turn_id, length(t) AS n_chars, false AS over, length(t) AS ends_at, true AS all_there FROM t
+WHERE regexp_matches(t, '[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')"""
+ORACLES = {"p6_found": _FOUND, "p6_covered": _COVERED}

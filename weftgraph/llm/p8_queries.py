@@ -35,6 +35,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actual_shares(mixed(sized, rates), rates)
 
 
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of the mix how many of its documents are emitted at least floor(rate) times, and whether none more than once more."""
+    sized, rates = _parts(spark, sf_dir)
+    whole = rates.where("rate >= 1").select(F.lower(F.trim("source")).alias("source"), F.floor("rate").alias("least"))
+    mix = mixed(sized.where("tokens > 0"), rates).join(whole, "source")
+    return mix.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.min(F.col("copies").between(F.col("least"), F.col("least") + 1)).alias("as_asked"))
+
+
 _RATES = r"""
 WITH d AS (
   SELECT doc_id, nullif(lower(trim(any_value(source), ' ')), '') AS source,
@@ -48,8 +56,11 @@ r AS (
 """
 _SHORT = "target_weight > 0 AND (tokens = 0 OR coalesce(wanted > max_repeats * tokens, false))"
 
-QUERIES = {"p8_found": p8_found, "p8_rates": p8_rates, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p8_found": p8_found, "p8_rates": p8_rates, "p8_mix": p8_mix, "p8_copies": p8_copies, "p8_shares": p8_shares}
 ORACLES = {
     "p8_found": _RATES + f"SELECT source FROM r WHERE {_SHORT}",
     "p8_rates": _RATES + f"SELECT source, tokens, round(CASE WHEN tokens > 0 THEN least(wanted / tokens, coalesce(max_repeats::DOUBLE, wanted / tokens)) ELSE 0.0 END, 6) AS rate, ({_SHORT}) AS short FROM r",
+    "p8_copies": _RATES
+    + """SELECT r.source, count(*) AS n_documents, true AS as_asked FROM r JOIN d ON d.source = lower(trim(r.source, ' '))
+WHERE r.tokens > 0 AND d.tokens > 0 AND least(wanted / r.tokens, coalesce(max_repeats::DOUBLE, wanted / r.tokens)) >= 1 GROUP BY 1""",
 }

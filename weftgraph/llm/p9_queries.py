@@ -30,4 +30,23 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_spans": p9_spans, "p9_shares": p9_shares}
-ORACLES: dict[str, str] = {}
+# Every window of 200 characters of every text, by its hash.
+_WINDOWS = r"""
+WITH d AS (SELECT doc_id, any_value(text) AS t FROM documents WHERE length(text) >= 200 AND doc_id IS NOT NULL GROUP BY 1),
+w AS (SELECT doc_id, i, hash(substr(t, i, 200)) AS h FROM (SELECT doc_id, t, unnest(range(1, length(t) - 198)) AS i FROM d)),
+k AS (SELECT DISTINCT doc_id, h FROM w),
+m AS (SELECT h FROM k GROUP BY 1 HAVING count(*) > 1),
+p AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN m ON w.h = m.h),
+q AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p),
+g AS (SELECT doc_id, i, sum(CASE WHEN before >= i - 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM q),
+s AS (SELECT doc_id, min(i) - 1 AS "begin", max(i) + 199 AS "end" FROM g GROUP BY doc_id, span)
+"""
+
+ORACLES = {
+    "p9_found": _WINDOWS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN m ON a.h = m.h JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p9_spans": _WINDOWS + 'SELECT doc_id, "begin", "end" FROM s',
+    "p9_shares": _WINDOWS
+    + """, z AS (SELECT doc_id, sum("end" - "begin")::BIGINT AS shared_chars, count(*) AS n_spans FROM s GROUP BY 1),
+n AS (SELECT DISTINCT doc_id, coalesce(length(text), 0) AS n_chars FROM documents)
+SELECT n.doc_id, n_chars, coalesce(shared_chars, 0)::BIGINT AS shared_chars, coalesce(n_spans, 0) AS n_spans, CASE WHEN n_chars > 0 THEN coalesce(shared_chars, 0) / n_chars ELSE 0.0 END AS share FROM n LEFT JOIN z ON z.doc_id = n.doc_id""",
+}

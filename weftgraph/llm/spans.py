@@ -106,11 +106,11 @@ def _paired_runs(context: DataFrame) -> DataFrame:
 
 
 def _crowded_runs(context: DataFrame) -> DataFrame:
-    """(w, k, begin) of every run of exactly the wanted length around chunks of many classes; w is the run's key."""
+    """(w, w2, k, begin) of every run of exactly the wanted length around chunks of many classes; w and w2 are its key of 128 bits."""
     many = context.where(F.col("n") > PAIRED)
     last = F.least(F.col("lead"), F.length("around") - RUN)
     first = F.greatest(F.lit(0), F.col("lead") + F.col("size") - RUN)
-    windows = F.when(last >= first, F.transform(F.sequence(first, last), lambda s: F.struct(F.xxhash64(F.substr("around", s + 1, F.lit(RUN))).alias("w"), F.hash(F.substr("around", s + 1, F.lit(RUN))).alias("w2"), (F.col("at") - F.col("lead") + s).alias("begin"))))
+    windows = F.when(last >= first, F.transform(F.sequence(first, last), lambda s: F.struct(F.xxhash64(F.substr("around", s + 1, F.lit(RUN))).alias("w"), F.xxhash64(F.lit(1), F.substr("around", s + 1, F.lit(RUN))).alias("w2"), (F.col("at") - F.col("lead") + s).alias("begin"))))
     return many.select("k", F.explode(windows).alias("x")).select("x.w", "x.w2", "k", "x.begin").distinct()
 
 
@@ -126,6 +126,7 @@ def shared_runs(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
     context = with_context(shared_chunks(classed, scratch), classed, scratch)
     pairs, _ = scratch.save(_paired_runs(context), "pairs")
     crowded, _ = scratch.save(_crowded_runs(context), "crowded")
+    scratch.drop("shared", "counted", "keys", "context")
     kept = crowded.join(_crowds(crowded), ["w", "w2"]).select("w", "w2", "k").distinct()
     other = kept.select("w", "w2", F.col("k").alias("kb"))
     met = kept.withColumnRenamed("k", "ka").join(other, ["w", "w2"]).where("ka < kb").select("ka", "kb")

@@ -14,7 +14,7 @@ in row order; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import ahocorasick
 import pandas as pd
@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions.shipping import by_value
+from weftgraph.session import cut
 
 # Hesitation sounds, which are fillers anywhere, in English, German, Spanish and French.
 SOUNDS_OF_HESITATION = (
@@ -45,8 +46,8 @@ NOISE_WORDS = (
 # Words for a speaker.
 SPEAKER_WORDS = ("speaker", "spk", "sprecher", "sprecherin", "locuteur", "locutrice", "hablante", "orador", "interlocuteur")
 
-#: a label that begins a text stands within so many characters
-_LEAD = 64
+#: Rows of a slice or turn beyond which it is cut further.
+PART_ROWS = 4096
 KINDS = ("timestamp", "filler", "sound", "inline_label")
 _FILLER, _PHRASE, _NOISE, _SPEAKER, _MARK = range(5)
 _MARKS = ("[", "(", "{", "<", "@", "-->", "|", "♪", ">>")
@@ -60,15 +61,16 @@ _BAR = re.compile(r"(?:\d+h)?\d+m\d{1,2}s\s*$")
 _NOTE_LEFT = re.compile(r"(?:[\[({<*♪]|(?<!\S)--?\s)[\[({<*♪\s]*(?:[^\W\d]+[ '_-]){0,3}$")
 _NOTE_RIGHT = re.compile(r"(?:[ '_-][^\W\d]+){0,3}[\])}>*♪\s]*(?:[\])}>*♪]|\s--?(?!\S))")
 _OPEN = {"[": "]", "(": ")", "{": "}", "<": ">", "*": "*", "♪": "♪", "-": "-"}
+_OPENERS = re.compile(r"[\[({<*♪]|(?<!\S)--?(?=\s)")
 _OPENS = {")": "(", "]": "[", "}": "{", ">": "<"}
 _BRACKET = re.compile(r"[\[\](){}<>]")
 _CLOCK_IN_NOTE = re.compile(rf"(?<![\w:.,]){_CLOCK}(?![\w:])")
 _NOTE = re.compile(rf"(?:{_CLOCK}|[^\W_]|[\s,'’_&/-])*")
 _NO_WORD = re.compile(rf"(?:{_CLOCK}|[\s,\d-])*")
 _LABEL = re.compile(
-    rf"\s*(?:>>+(?:\s*(?:(?:{'|'.join(SPEAKER_WORDS)})[ _-]?)?\d{{1,3}}\s*:)?"
-    rf"|[\[(]\s*(?:{'|'.join(SPEAKER_WORDS)}|s)[ _-]?\d{{1,3}}\s*[\])]\s*:?"
-    rf"|(?:{'|'.join(SPEAKER_WORDS)}|s)[ _-]?\d{{1,3}}(?:\s*\([^()]*\))?\s*(?:[:>]|[-–—](?=\s)))",
+    rf"\s*(?:>>+(?:\s*(?:(?:{'|'.join(SPEAKER_WORDS)})[ _-]?)?\d+\s*:)?"
+    rf"|[\[(]\s*(?:{'|'.join(SPEAKER_WORDS)}|s)[ _-]?\d+\s*[\])]\s*:?"
+    rf"|(?:{'|'.join(SPEAKER_WORDS)}|s)[ _-]?\d+(?:\s*\([^()]*\))?\s*(?:[:>]|[-–—](?=\s)))",
     re.IGNORECASE,
 )
 _SET_OFF = re.compile(r"\s*(?:[,.;:?!…]|[-–—](?=[\s,;.]|$)|[)\]]|$)")
@@ -107,15 +109,31 @@ def _hyphenated(text: str, begin: int, end: int) -> bool:
     return (begin > 1 and text[begin - 1] in "-'’" and text[begin - 2].isalnum()) or (end + 1 < len(text) and text[end] in "-'’" and text[end + 1].isalnum())
 
 
-def _note_span(text: str, begin: int, end: int) -> tuple[int, int] | None:
-    """The enclosed note around a noise word, if the nearest opening mark is closed behind it."""
+def _last_visible(text: str, end: int) -> int:
+    """The place behind the last character before ``end`` that is no white space."""
+    while end and text[end - 1].isspace():
+        end -= 1
+    return end
+
+
+def _note_span(text: str, begin: int, end: int, opens: list[int]) -> tuple[int, int] | None:
+    """The note around a noise word with up to three words on either side, if the nearest opening mark is closed behind it.
+
+    What stands further away is a sentence, unless brackets enclose it (_boxed_note). ``opens`` are the places of marks.
+    """
     right = _NOTE_RIGHT.match(text, end)
-    for at in range(begin - 1, max(-1, begin - 49), -1) if right else ():
-        if text[at] in _OPEN and _NOTE_LEFT.match(text, at, begin):
+    k = bisect_left(opens, begin) - 1
+    tried = ""
+    while right and k >= 0 and _NOTE_LEFT.match(text, at := opens[k], begin):
+        if text[at] not in tried:  # marks of one kind need one try
             while at and text[at - 1] == text[at]:
                 at -= 1
             if _OPEN[text[at]] in right.group():
                 return at, right.end()
+            tried += text[at]
+            if len(tried) == len(_OPEN):
+                break
+        k = bisect_left(opens, at) - 1
     return None
 
 
@@ -163,13 +181,15 @@ def _boxed_note(text: str, begin: int, end: int, pairs: tuple[list[int], list[in
 
 def _set_off(low: str, begin: int, end: int) -> bool:
     """Punctuation follows; a pair of dashes only counts with one before, else it opens another insertion."""
-    return bool(_SET_OFF.match(low, end) or (_DASHED.match(low, end) and low[max(0, begin - 8) : begin].rstrip().endswith(("--", "—"))))
+    return bool(_SET_OFF.match(low, end) or (_DASHED.match(low, end) and low.endswith(("--", "—"), 0, _last_visible(low, begin))))
 
 
 def intervals(text: str) -> list[tuple[int, int, str]]:
     """The dirty intervals of a text as (begin, end, kind)."""
     low, out = _lowered(text), []
-    label = pairs = noted = None
+    label = pairs = noted = opens = None
+    first = len(low) - len(low.lstrip())  # where a label could begin, alone or behind its marks
+    lead = len(low) - len(low.lstrip("> \t\r\n[("))
     for last, (what, size) in automaton().iter(low):
         end = last + 1
         begin = end - size
@@ -178,26 +198,32 @@ def intervals(text: str) -> list[tuple[int, int, str]]:
             if mark in _BOXED:
                 if m := _BOXED[mark].match(text, begin):
                     out.append((begin, m.end(), "timestamp"))
-                elif mark in "[(" and label is None and begin < _LEAD and not low[:begin].strip():
+                elif mark in "[(" and label is None and begin == first:
                     label = _LABEL.match(text)
             elif mark == "@":
                 if (begin == 0 or not text[begin - 1].isalnum()) and (m := _AT.match(text, begin)):
                     out.append((begin, m.end(), "timestamp"))
             elif mark == "-->":
-                if m := _ARROW.search(text, max(0, begin - 20), begin):
+                behind = _last_visible(text, begin)
+                if m := _ARROW.search(text, max(0, behind - 16), behind):  # the pattern's longest match
                     out.append((m.start(), _ARROW_END.match(text, begin).end(), "timestamp"))
             elif mark == "|":
-                if (m := _BAR.search(text, max(0, begin - 20), begin)) and (m.start() == 0 or not text[m.start() - 1].isalnum()):
+                behind = _last_visible(text, begin)
+                start = behind
+                while start and (text[start - 1].isdigit() or text[start - 1] in "hms"):
+                    start -= 1
+                if (m := _BAR.search(text, start, behind)) and (m.start() == 0 or not text[m.start() - 1].isalnum()):
                     out.append((m.start(), end, "timestamp"))
             elif mark == "♪":
                 out.append((begin, end, "sound"))
-            elif label is None and begin < _LEAD and not low[:begin].strip(" >"):
+            elif label is None and begin <= lead:
                 label = _LABEL.match(text)
         elif _inside_word(low, begin, end):
-            if what == _SPEAKER and label is None and begin < _LEAD and not low[:begin].strip(" [("):
+            if what == _SPEAKER and label is None and begin <= lead:
                 label = _LABEL.match(text)
         elif what == _NOISE:
-            if span := _note_span(text, begin, end):
+            opens = opens if opens is not None else [m.start() for m in _OPENERS.finditer(text)]
+            if span := _note_span(text, begin, end, opens):
                 out.append((*span, "sound"))
             else:
                 pairs = pairs or _pairs(text)
@@ -208,11 +234,11 @@ def intervals(text: str) -> list[tuple[int, int, str]]:
                             out.append((*span, "timestamp"))
                     noted = span
         elif what == _SPEAKER:
-            if label is None and begin < _LEAD and not low[:begin].strip(" [("):
+            if label is None and begin <= lead:
                 label = _LABEL.match(text)
         elif not _hyphenated(low, begin, end) and (what == _FILLER or _set_off(low, begin, end)):
             out.append((begin, end, "filler"))
-    if label is None and low[:3].lstrip()[:1] == "s":
+    if label is None and low.startswith("s", first):
         label = _LABEL.match(text)
     if label:
         out.append((0, label.end(), "inline_label"))
@@ -242,7 +268,8 @@ def _without(text: str, found: list[tuple[int, int, str]]) -> str:
         if kind == "filler":
             if m := _AFTER_FILLER.match(text, end):
                 end = m.end()
-            if m := _BEFORE_FILLER.search(text, max(0, begin - 6), begin):
+            behind = _last_visible(text, begin)
+            if m := _BEFORE_FILLER.search(text, max(0, behind - 2), behind):
                 begin = m.start()
         spans.append((begin, end))
     kept, at = [], 0
@@ -275,23 +302,30 @@ def found_dirt(turns: DataFrame) -> DataFrame:
 
 
 def speaker_label(speaker):
-    """One spelling per speaker: ``SPEAKER_`` and the label's number in two digits; null without a number."""
-    number = F.regexp_extract(speaker, r"([0-9]{1,4})[^0-9]*$", 1)
-    return F.when(number != "", F.concat(F.lit("SPEAKER_"), F.lpad(number.cast("int").cast("string"), 2, "0")))
+    """One spelling per speaker: ``SPEAKER_`` and the label's number in two digits or more; null without a number."""
+    number = F.regexp_replace(F.regexp_extract(speaker, r"([0-9]+)[^0-9]*$", 1), r"^0+(?=[0-9])", "")
+    return F.when(number != "", F.concat(F.lit("SPEAKER_"), F.when(F.length(number) < 2, F.concat(F.lit("0"), number)).otherwise(number)))
 
 
-def speaker_turns(turns: DataFrame, slice_s: int = 3600) -> DataFrame:
-    """(recording_id, turn_no, speaker, start_s, end_s, text, n_rows) of every recording in time order.
+def speaker_turns(turns: DataFrame, slice_s: int = 3600, part_rows: int = PART_ROWS) -> DataFrame:
+    """(recording_id, turn_no, part_no, speaker, start_s, end_s, text, n_rows) of every recording in time order.
 
-    Adjacent rows of one speaker make one turn. Rows meet in slices of ``slice_s`` seconds; the last speaker of the
-    slices before comes from a table with one row per slice, so a recording may hold any share of the rows.
+    Adjacent rows of one speaker make one turn. Rows meet in slices of ``slice_s`` seconds, or of times and row numbers
+    where a slice holds more than ``part_rows``; the last speaker of the slices before comes from a table with one row
+    per slice, so a recording may hold any share of the rows. A turn of more than ``part_rows`` rows comes in parts, one
+    for each of its slices, so that no turn is gathered whole; all others have the one part 1.
     """
     clean = F.pandas_udf(lambda s: s.map(clean_text), "string")
     blank = lambda c: F.when(F.col(c).rlike(r"[^\p{IsWhite_Space}]"), F.col(c))
     once = turns.dropDuplicates(["row_id"]).select("row_id", F.coalesce("recording_id", F.lit("")).alias("recording_id"), F.nanvl("start_s", F.lit(None).cast("double")).alias("a"), F.nanvl("end_s", F.lit(None).cast("double")).alias("b"), "speaker", F.coalesce(blank("corrected"), blank("parakeet"), blank("whisper")).alias("raw"))
     timed = once.select("row_id", "recording_id", F.least("a", "b").alias("start_s"), F.greatest("a", "b").alias("end_s"), speaker_label(F.col("speaker")).alias("speaker"), clean(F.coalesce("raw", F.lit(""))).alias("text"))
-    rows = timed.where("text <> ''").withColumn("part", F.coalesce(F.floor(F.col("start_s") / slice_s), F.lit(1 << 40) + F.floor(F.col("row_id") / 100_000)))
-    order = [F.col("start_s").asc_nulls_last(), F.col("row_id")]
+    rows = cut(timed.where("text <> ''").withColumn("hour", F.coalesce(F.floor(F.col("start_s") / slice_s), F.lit(1 << 40))))
+    full = rows.groupBy(F.col("recording_id").alias("__r"), F.col("hour").alias("__h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows).drop("n")
+    marked = rows.join(full, (rows["recording_id"] == F.col("__r")) & (rows["hour"] == F.col("__h")), "left")
+    is_full = F.col("__h").isNotNull()
+    slices = F.struct("hour", F.when(is_full, F.coalesce("start_s", F.lit(0.0))).alias("t"), F.when(is_full, F.floor(F.col("row_id") / part_rows)).alias("k"))
+    rows = marked.withColumn("part", slices).drop("__r", "__h", "hour")
+    order = [F.col("start_s").asc_nulls_last(), F.col("row_id").asc_nulls_last()]
     here = W.partitionBy("recording_id", "part").orderBy(*order)
     # A row without a label belongs to the speaker before it.
     filled = rows.withColumn("who", F.last("speaker", ignorenulls=True).over(here))
@@ -304,9 +338,13 @@ def speaker_turns(turns: DataFrame, slice_s: int = 3600) -> DataFrame:
     counts = marked.groupBy("recording_id", "part").agg(F.sum("new").alias("n"))
     starts = counts.select("recording_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     running = here.rowsBetween(W.unboundedPreceding, 0)
-    numbered = marked.withColumn("k", F.sum("new").over(running)).join(starts, ["recording_id", "part"]).withColumn("turn_no", (F.col("base") + F.col("k")).cast("long"))
+    numbered = cut(marked.withColumn("k", F.sum("new").over(running)).join(starts, ["recording_id", "part"]).withColumn("turn_no", (F.col("base") + F.col("k")).cast("long")))
+    long = numbered.groupBy("recording_id", "turn_no").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows).select(F.col("recording_id").alias("__r"), F.col("turn_no").alias("__t"))
+    parted = numbered.join(long, (numbered["recording_id"] == F.col("__r")) & (numbered["turn_no"] == F.col("__t")), "left").withColumn("slice", F.when(F.col("__t").isNotNull(), F.col("part")))
     pieces = F.array_sort(F.collect_list(F.struct(F.col("start_s").isNull().alias("late"), "start_s", "row_id", "text")))
-    return numbered.groupBy("recording_id", "turn_no").agg(F.min("who").alias("speaker"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.array_join(F.transform(pieces, lambda p: p["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_rows"))
+    gathered = parted.groupBy("recording_id", "turn_no", "slice").agg(F.min("who").alias("speaker"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.array_join(F.transform(pieces, lambda p: p["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_rows"))
+    part_no = F.row_number().over(W.partitionBy("recording_id", "turn_no").orderBy("slice"))
+    return gathered.select("recording_id", "turn_no", part_no.alias("part_no"), "speaker", "start_s", "end_s", "text", "n_rows")
 
 
 by_value(__name__)
