@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import canonical_types
-from weftgraph.session import Scratch
+from weftgraph.session import Scratch, cut
 
 CATCH_ALL = "related_to"
 
@@ -193,10 +193,18 @@ def structure(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return row.select("*", F.coalesce(F.try_divide(F.col("relation_count").cast("double"), possible), F.lit(0.0)).alias("density"), F.coalesce(F.try_divide(F.col("relation_count").cast("double"), F.col("entity_count").cast("double")), F.lit(0.0)).alias("relations_per_entity"))
 
 
-def resolve_chain(links: DataFrame, child: str, parent: str, limit: int = 6) -> DataFrame:
-    """(child, root): the end of each chain of parents by pointer doubling, 2**limit links deep; cycles keep the guard."""
-    table = links.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL").groupBy("c").agg(F.min("p").alias("p"))
-    for _ in range(limit):
-        up = table.select(F.col("c").alias("m"), F.col("p").alias("q"))
-        table = table.join(up, table["p"] == up["m"], "left").select("c", F.coalesce("q", "p").alias("p"))
-    return table.select(F.col("c").alias(child), F.col("p").alias("root"))
+def resolve_chain(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """(child, root): the end of each chain of parents, by pointer doubling until nothing moves.
+
+    Of several parents the smallest counts. A chain that runs into a cycle ends at the cycle's smallest member: after as
+    many doublings as make up all links every pointer is within its cycle, and the least name met from there on is its.
+    """
+    table = cut(links.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL").groupBy("c").agg(F.min("p").alias("p")).withColumn("m", F.col("p")))
+    left, moving = table.count(), True
+    while moving and left:
+        up = table.select(F.col("c").alias("k"), F.col("p").alias("q"), F.col("m").alias("n"))
+        table = cut(table.join(up, table["p"] == up["k"], "left").select("c", F.coalesce("q", "p").alias("p"), F.when(F.col("q").isNotNull(), F.least("m", "n")).otherwise(F.col("m")).alias("m"), F.coalesce(F.col("q") != F.col("p"), F.lit(False)).alias("moved")))
+        moving = not table.where("moved").isEmpty()
+        left //= 2
+    inside = table.select(F.col("c").alias("k"), F.col("m").alias("n"))
+    return table.join(inside, table["p"] == inside["k"], "left").select(F.col("c").alias(child), F.coalesce("n", "p").alias("root"))

@@ -45,24 +45,24 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Nations that trade: one raw edge per order line, from the customer's nation to the supplier's.
 
     It has what graph operators must cope with: self-loops, parallel and two-way edges, mixed spellings of types, edges
-    of the catch-all beside typed ones, and ends without an entity (nations divisible by 12 are left out).
+    of the catch-all beside typed ones, and ends without an entity (later lines misspell the nations divisible by 12).
     """
     lines = table(spark, sf_dir, "lineitem", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))
     who = table(spark, sf_dir, "orders", ("o_orderkey", "o_custkey")).join(table(spark, sf_dir, "customer", ("c_custkey", "c_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
     joined = lines.join(who, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "supplier", ("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     types = F.when(flag == "A", F.array(F.lit("supplies"))).when((flag == "R") & (status == "F"), F.array(F.lit(" Returns_To"), F.lit("supplies"))).when(flag == "R", F.array(F.lit("supplies"), F.lit("returns_to"))).otherwise(F.array(F.lit("related_to")))
-    near = F.abs(F.col("c_nationkey") - F.col("s_nationkey")) <= 6  # far nations do not trade, so the graph is not complete
-    edges = joined.where(near).select(F.concat(F.lit("NATION_"), F.col("c_nationkey")).alias("src"), F.concat(F.lit("NATION_"), F.col("s_nationkey")).alias("dst"), types.alias("relation_type"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    nations = table(spark, sf_dir, "nation").where("n_nationkey % 12 <> 0").select(F.col("n_name").alias("name"), F.when(F.col("n_regionkey") == 4, "other").otherwise(F.concat(F.lit("region_"), F.col("n_regionkey"))).alias("entity_type"), F.col("n_nationkey").alias("ord"))
+    named = lambda c: F.concat(F.when((F.col(c) % 12 == 0) & (F.col("l_linenumber") > 3), "NATION-").otherwise("NATION_"), F.col(c))
+    edges = joined.select(named("c_nationkey").alias("src"), named("s_nationkey").alias("dst"), types.alias("relation_type"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_regionkey") == 4, "other").otherwise(F.concat(F.lit("region_"), F.col("n_regionkey"))).alias("entity_type"), F.col("n_nationkey").alias("ord"))
     return nations, edges
 
 
-TRADE = """WITH ents AS (SELECT n_name AS name, CASE WHEN n_regionkey = 4 THEN 'other' ELSE 'region_' || n_regionkey END AS entity_type, n_nationkey AS ord FROM nation WHERE n_nationkey % 12 <> 0),
-rels AS (SELECT 'NATION_' || c_nationkey AS src, 'NATION_' || s_nationkey AS dst,
+TRADE = """WITH ents AS (SELECT n_name AS name, CASE WHEN n_regionkey = 4 THEN 'other' ELSE 'region_' || n_regionkey END AS entity_type, n_nationkey AS ord FROM nation),
+rels AS (SELECT CASE WHEN c_nationkey % 12 = 0 AND l_linenumber > 3 THEN 'NATION-' ELSE 'NATION_' END || c_nationkey AS src, CASE WHEN s_nationkey % 12 = 0 AND l_linenumber > 3 THEN 'NATION-' ELSE 'NATION_' END || s_nationkey AS dst,
   CASE WHEN l_returnflag = 'A' THEN ['supplies'] WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN [' Returns_To', 'supplies'] WHEN l_returnflag = 'R' THEN ['supplies', 'returns_to'] ELSE ['related_to'] END AS relation_type,
   l_orderkey, l_linenumber, l_partkey, l_suppkey
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE abs(c_nationkey - s_nationkey) <= 6),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
 folded AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(relation_type, lambda t: lower(trim(t))), lambda t: t <> ''))) AS types FROM rels)
 """
 

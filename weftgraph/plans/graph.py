@@ -46,7 +46,7 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stub_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     ents, rels = _distinct(spark, sf_dir)
-    external = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey = 12").select(F.col("n_name").alias("name"))
+    external = spark.createDataFrame([("NATION-12",)], "name string")
     return graph.with_stubs(ents, rels, external)
 
 
@@ -123,7 +123,7 @@ ORACLES = {
     "relation_filter_all": _EDGES + f"SELECT {_SAY} FROM d WHERE {_TYPED}",
     "integrity_gate": _EDGES + f"SELECT {_SAY} FROM d WHERE src IN (SELECT name FROM ents) AND dst IN (SELECT name FROM ents)",
     "dangling_edges": TRADE + "SELECT * FROM (SELECT src IN (SELECT name FROM ents) AS src_known, dst IN (SELECT name FROM ents) AS dst_known, count(*) AS n FROM rels GROUP BY 1, 2) WHERE NOT (src_known AND dst_known)",
-    "stub_entities": _EDGES + "SELECT name, entity_type FROM ents UNION ALL SELECT DISTINCT e, 'external' FROM (SELECT src AS e FROM d UNION SELECT dst FROM d) WHERE e = 'NATION_12'",
+    "stub_entities": _EDGES + "SELECT name, entity_type FROM ents UNION ALL SELECT DISTINCT e, 'external' FROM (SELECT src AS e FROM d UNION SELECT dst FROM d) WHERE e = 'NATION-12'",
     "trade_graph_health": TRADE + """SELECT (SELECT count(*) FROM ents) AS entity_count, (SELECT count(DISTINCT entity_type) FROM ents) AS entity_type_count, count(*) AS relation_count,
   (SELECT count(DISTINCT t) FROM (SELECT unnest(relation_type) AS t FROM rels) WHERE t <> '') AS relation_type_count, sum((src = dst)::INT)::BIGINT AS self_loop_count,
   (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM rels) a JOIN (SELECT DISTINCT src, dst FROM rels) b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) AS bidirectional_pair_count,

@@ -57,12 +57,10 @@ def cross_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The composite of the graph of the relational tables without orders."""
+    """The composite of the graph of the relational tables."""
     ents, obs, rels = struct_graph(spark, sf_dir)
-    ents, rels = graph.hide_types(ents, rels, ["orders"])
-    obs = obs.join(ents.select("name"), "name", "left_semi")
     structure, semantic = graph.structure(ents, rels), quality.semantic_scores(ents, obs, rels)
-    claims = obs.join(ents, "name").select("name", "text", F.concat_ws(" ", "name", "text").alias("source"))
+    claims = obs.join(ents, "name").select("name", "text", F.concat_ws(" ", "entity_type", "locator", "name").alias("source"))
     ground, fact = quality.grounding_scores(claims), quality.factual_consistency(obs)
     row = structure.withColumns({c: semantic.select(c).scalar() for c in semantic.columns} | {c: ground.select(c).scalar() for c in ground.columns})
     row = row.withColumns({"consistency": fact.select("consistency").scalar(), "naming_consistency": quality.naming_consistency(ents).scalar(), "type_consistency": quality.type_consistency(ents).scalar(), "cross_consistency": F.lit(1.0), "coverage": F.lit(1.0), "observations_per_entity": obs.agg(F.count(F.lit(1)).cast("double")).scalar() / F.col("entity_count")})
