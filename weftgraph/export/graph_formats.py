@@ -51,6 +51,15 @@ def jsonl(entities: DataFrame, observations: DataFrame, relations: DataFrame) ->
     return e.unionByName(r)
 
 
+def json_document(entities: DataFrame, observations: DataFrame, relations: DataFrame) -> DataFrame:
+    """(part, ord, line): lines that, in this order, are one JSON document of the whole graph; no row holds more than one node."""
+    lines = jsonl(entities, observations, relations).withColumn("line", F.regexp_replace("line", r'^\{"type":"(?:entity|relation)",', "{"))
+    last = lines.groupBy("kind").agg(F.max(F.struct("ord", "line")).alias("last"))
+    body = lines.join(last, "kind").select((2 * F.col("kind") + 1).alias("part"), F.col("ord").cast("string").alias("ord"), F.when(F.struct("ord", "line") == F.col("last"), F.col("line")).otherwise(F.concat("line", F.lit(","))).alias("line"))
+    frame = entities.sparkSession.createDataFrame([(0, "", '{"entities":['), (2, "", '],"relations":['), (4, "", "]}")], "part int, ord string, line string")
+    return frame.unionByName(body)
+
+
 def mcp_relations(relations: DataFrame) -> DataFrame:
     """Relation lines with types joined by commas; provenance only where set."""
     extra = [F.col(c) for c in ("resolved", "faithfulness") if c in relations.columns]

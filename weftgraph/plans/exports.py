@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.export import graph_formats as formats
+from weftgraph.sources.graphs import graph_of_lines
 from weftgraph.plans.common import FACTS, STRUCT, struct_graph, user_facts
 
 NOW = "2025-01-01T00:00:00Z"
@@ -41,6 +42,21 @@ def jsonl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.jsonl(*_graph(spark, sf_dir)[:2], _graph(spark, sf_dir)[2].withColumn("ord", F.col("src"))).select("kind", "line")
 
 
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole graph as the lines of one JSON document."""
+    return formats.json_document(*_graph(spark, sf_dir)[:2], _graph(spark, sf_dir)[2].withColumn("ord", F.col("src"))).select("part", "line")
+
+
+def graph_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's line file read back: entities, observations and edges by type."""
+    lines = formats.jsonl(*_graph(spark, sf_dir)[:2], _graph(spark, sf_dir)[2].withColumn("ord", F.col("src"))).select("line")
+    back = graph_of_lines(lines)
+    counted = lambda df, what, c: df.groupBy(F.lit(what).alias("what"), c.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    ents = counted(back.entities, "entity", F.col("entity_type"))
+    obs = counted(back.observations, "observation", F.regexp_extract("text", "^([^:]*):", 1))
+    return ents.unionByName(obs).unionByName(counted(back.relations, "relation", F.array_join("relation_type", ",")))
+
+
 def mcp_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.mcp_relations(_graph(spark, sf_dir)[2]).select("line")
 
@@ -76,7 +92,7 @@ _KB = STRUCT + """, t AS (SELECT name, 'description' AS property, string_agg(tex
 _UUID = "substr(sha1({0}), 1, 8) || '-' || substr(sha1({0}), 9, 4) || '-' || substr(sha1({0}), 13, 4) || '-' || substr(sha1({0}), 17, 4) || '-' || substr(sha1({0}), 21, 12)"
 _u = lambda x: "(" + _UUID.format(x) + ")"
 _Q, _A = "'What is the ' || property || ' of ' || name || '?'", "'The ' || property || ' of ' || name || ' is ' || value || '.'"
-QUERIES = {f.__name__: f for f in (kb_triples, kblam, lora, jsonl_export, mcp_jsonl, mcp_round_trip, graphiti_nodes, graphiti_edges, dot_export, markdown_pages)}
+QUERIES = {f.__name__: f for f in (kb_triples, kblam, lora, jsonl_export, json_document, graph_loader, mcp_jsonl, mcp_round_trip, graphiti_nodes, graphiti_edges, dot_export, markdown_pages)}
 ORACLES = {
     "kb_triples": _KB + "SELECT * FROM t",
     "kblam": _KB + f"SELECT name, property AS description_type, value AS description, {_Q} AS Q, {_A} AS A, 'The ' || property || ' of ' || name AS key_string FROM t",
@@ -86,6 +102,13 @@ SELECT name, property, '{{"messages":[{{"role":"user","content":"' || {_Q} || '"
 SELECT 0 AS kind, '{"type":"entity","name":"' || name || '","entityType":"' || entity_type || '","observations":[' || coalesce(l, '') || ']}' AS line FROM ents LEFT JOIN o USING (name)
 UNION ALL SELECT 1, '{"type":"relation","from":"' || src || '","to":"' || dst || '","relationType":["' || relation_type[1] || '"]}' FROM rels""",
     "mcp_jsonl": STRUCT + """SELECT '{"type":"relation","from":"' || src || '","to":"' || dst || '","relationType":"' || relation_type[1] || '"}' AS line FROM rels""",
+    "graph_loader": STRUCT + "SELECT 'entity' AS what, entity_type AS kind, count(*) AS n FROM ents GROUP BY 2 UNION ALL SELECT 'observation', split_part(text, ':', 1), count(*) FROM obs GROUP BY 2 UNION ALL SELECT 'relation', relation_type[1], count(*) FROM rels GROUP BY 2",
+    "json_document": STRUCT + """, o AS (SELECT name, string_agg('"' || text || '"', ',' ORDER BY ord) AS l FROM obs GROUP BY 1),
+e AS (SELECT name AS ord, '{"name":"' || name || '","entityType":"' || entity_type || '","observations":[' || coalesce(l, '') || ']}' AS line FROM ents LEFT JOIN o USING (name)),
+r AS (SELECT src AS ord, '{"from":"' || src || '","to":"' || dst || '","relationType":["' || relation_type[1] || '"]}' AS line FROM rels)
+SELECT 0 AS part, '{"entities":[' AS line UNION ALL SELECT 2, '],"relations":[' UNION ALL SELECT 4, ']}'
+UNION ALL SELECT 1, line || CASE WHEN row_number() OVER (ORDER BY ord DESC, line DESC) = 1 THEN '' ELSE ',' END FROM e
+UNION ALL SELECT 3, line || CASE WHEN row_number() OVER (ORDER BY ord DESC, line DESC) = 1 THEN '' ELSE ',' END FROM r""",
     "mcp_round_trip": STRUCT + "SELECT relation_type[1] AS relation_type, count(*) AS n FROM rels GROUP BY 1",
     "graphiti_nodes": STRUCT + f", o AS (SELECT name, string_agg(text, ' ' ORDER BY ord) AS s FROM obs GROUP BY 1) SELECT {_u('name')} AS uuid, name, coalesce(s, '') AS summary, entity_type AS label, '{NOW}' AS created_at FROM ents LEFT JOIN o USING (name)",
     "graphiti_edges": STRUCT + ", e AS (SELECT src, dst, relation_type[1] AS t FROM rels) SELECT " + _u("src || '|' || t || '|' || dst") + " AS uuid, upper(t) AS name, src || ' ' || t || ' ' || dst AS fact, " + _u("src") + " AS source_node_uuid, " + _u("dst") + " AS target_node_uuid FROM e",

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import verbalise
-from weftgraph.operators import graph
+from weftgraph.operators import canonical, graph
 from weftgraph.plans.common import TRADE, trade_graph
+from weftgraph.sources.tables import table
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -110,12 +111,45 @@ def verbalised_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rels.select("src", "dst", verbalise(F.col("src"), F.col("relation_type"), F.col("dst")).alias("sentence"))
 
 
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations clustered by region."""
+    nation = table(spark, sf_dir, "nation", ("n_name", "n_regionkey"))
+    return nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("cluster"))
+
+
+def _region_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ents, rels = trade_graph(spark, sf_dir)
+    return canonical.entity_renames(ents, _regions(spark, sf_dir), rels)
+
+
+def canonical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's nations folded into the one with the most edges."""
+    ents = trade_graph(spark, sf_dir)[0].withColumn("files", F.array(F.concat(F.lit("n"), F.col("ord") % 3)))
+    return canonical.fold_entities(ents, _region_renames(spark, sf_dir)).select("name", "entity_type", F.array_join("files", "|").alias("files"))
+
+
+def canonical_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges between those, with the labels of one spelling group under the most frequent label."""
+    rels = trade_graph(spark, sf_dir)[1]
+    labels = rels.select(F.explode("relation_type").alias("label")).distinct().withColumn("cluster", F.lower(F.trim("label")))
+    named = canonical.rename_labels(rels, canonical.label_renames(rels, labels))
+    return _types(canonical.rename_relations(named, _region_renames(spark, sf_dir), ORDER)).select("src", "dst", "relation_type")
+
+
+def merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was folded into which canonical name."""
+    return canonical.merge_log(_region_renames(spark, sf_dir), "region").withColumn("surface_forms", F.array_join("surface_forms", "|"))
+
+
 _EDGES = TRADE + ", d AS (SELECT DISTINCT src, dst, types FROM folded WHERE src <> dst)\n"
 _TYPED = "len(list_filter(types, lambda t: t <> 'related_to')) > 0"
 QUERIES = {
     f.__name__: f
-    for f in (relation_dedup, relation_filter_redundant, relation_filter_all, integrity_gate, dangling_edges, stub_entities, trade_graph_health, trade_degree, edge_label_freq, bidirectional_pairs, vocabulary_fit, coerced_vocabulary, trade_neighbours, hidden_types, entity_search, connected_components, graph_structure, verbalised_relations)
+    for f in (relation_dedup, relation_filter_redundant, relation_filter_all, integrity_gate, dangling_edges, stub_entities, trade_graph_health, trade_degree, edge_label_freq, bidirectional_pairs, vocabulary_fit, coerced_vocabulary, trade_neighbours, hidden_types, entity_search, connected_components, graph_structure, verbalised_relations, canonical_entities, canonical_relations, merge_log)
 }
+_CANON = TRADE + """, x AS (SELECT src AS name FROM rels UNION ALL SELECT dst FROM rels), g AS (SELECT e.name, n_regionkey AS k, count(x.name) AS n FROM ents e JOIN nation ON n_name = e.name LEFT JOIN x ON x.name = e.name GROUP BY 1, 2),
+c AS (SELECT name AS member, first_value(name) OVER (PARTITION BY k ORDER BY n DESC, name) AS canonical FROM g)
+"""
 _SAY = "src, dst, array_to_string(types, ',') AS relation_type"
 ORACLES = {
     "relation_dedup": TRADE + "SELECT src, dst, array_to_string(types, ',') AS relation_type, f.l_orderkey, f.l_linenumber, f.l_partkey, f.l_suppkey FROM (SELECT src, dst, types, min(row(l_orderkey, l_linenumber, l_partkey, l_suppkey)::STRUCT(l_orderkey BIGINT, l_linenumber INTEGER, l_partkey BIGINT, l_suppkey BIGINT)) AS f FROM folded WHERE src <> dst GROUP BY 1, 2, 3)",
@@ -141,4 +175,7 @@ ORACLES = {
     "connected_components": _EDGES.replace("WITH ents", "WITH RECURSIVE ents") + ", g AS (SELECT DISTINCT src AS a, dst AS b FROM d WHERE src IN (SELECT name FROM ents) AND dst IN (SELECT name FROM ents)), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g), w(name, r) AS (SELECT name, name FROM ents UNION SELECT w.name, u.b FROM w JOIN u ON u.a = w.r) SELECT name, min(r) AS component FROM w GROUP BY 1",
     "graph_structure": _EDGES.replace("WITH ents", "WITH RECURSIVE ents") + ", g AS (SELECT DISTINCT src AS a, dst AS b FROM d WHERE src IN (SELECT name FROM ents) AND dst IN (SELECT name FROM ents)), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g), w(name, r) AS (SELECT name, name FROM ents UNION SELECT w.name, u.b FROM w JOIN u ON u.a = w.r), c AS (SELECT name, min(r) AS component FROM w GROUP BY 1), n AS (SELECT count(*) AS n FROM ents), m AS (SELECT count(*) AS m FROM d) SELECT n AS entity_count, m AS relation_count, (SELECT count(DISTINCT component) FROM c) AS connected_components, (SELECT count(*) FROM ents WHERE name NOT IN (SELECT src FROM d UNION SELECT dst FROM d)) AS isolated_entities, round(m / (n * (n - 1)), 6) AS density, round(m / n, 6) AS relations_per_entity FROM n, m",
     "verbalised_relations": _EDGES + "SELECT src, dst, concat_ws(' ', src, array_to_string(list_transform(types, lambda t: replace(t, '_', ' ')), ' and '), dst) AS sentence FROM d",
+    "canonical_entities": _CANON + "SELECT c.canonical AS name, max(e.entity_type) FILTER (e.name = c.canonical) AS entity_type, array_to_string(list_sort(list(DISTINCT 'n' || (e.ord % 3))), '|') AS files FROM ents e JOIN c ON c.member = e.name GROUP BY 1",
+    "canonical_relations": _CANON + "SELECT DISTINCT coalesce(a.canonical, src) AS src, coalesce(b.canonical, dst) AS dst, array_to_string(types, ',') AS relation_type FROM folded LEFT JOIN c a ON a.member = src LEFT JOIN c b ON b.member = dst WHERE coalesce(a.canonical, src) <> coalesce(b.canonical, dst)",
+    "merge_log": _CANON + "SELECT canonical, string_agg(member, '|' ORDER BY member) AS surface_forms, count(*) AS member_count, 'region' AS method, 1.0::DOUBLE AS min_sim, 1.0::DOUBLE AS max_sim FROM c GROUP BY 1 HAVING count(*) > 1",
 }
