@@ -45,5 +45,13 @@ def accuracy_by_class(predicted: DataFrame) -> DataFrame:
     return out.withColumn("f1", zero(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
 
 
+def accuracy_summary(predicted: DataFrame) -> DataFrame:
+    """One row of (gold, pred) rows: how many, how many with a prediction, how many right, and the mean F1 of the gold classes."""
+    macro = accuracy_by_class(predicted).where("gold > 0").agg(F.coalesce(F.avg("f1"), F.lit(0.0)))
+    n = predicted.agg(F.count(F.lit(1)).alias("total"), F.count("pred").alias("predicted"), F.count_if(F.col("gold") == F.col("pred")).alias("correct"))
+    share = lambda c: F.coalesce(F.try_divide(c, "total"), F.lit(0.0))
+    return n.withColumns({"accuracy": share("correct"), "coverage": share("predicted"), "macro_f1": macro.scalar()})
+
+
 def confusion(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy("gold", F.coalesce("pred", F.lit("(none)")).alias("pred")).agg(F.count(F.lit(1)).alias("n"))

@@ -118,4 +118,30 @@ def rank_auc(scored: DataFrame, score: str, label: str, slices: int = 1024) -> D
     return won.agg(F.try_divide(F.sum(F.col("p") * (F.col("base") + F.col("inside") + F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
+def separation(scored: DataFrame, score: str, label: str, q: float = 0.05, slices: int = 1024) -> DataFrame:
+    """One row: means, variances and a quantile of both groups' scores, how far they stand apart, and the best threshold.
+
+    The quantile is the score at place floor(q * n); the threshold has the greatest share of positives minus share of
+    negatives at or above it, the least of equals. Scores (between -1 and 1) are counted once per value and numbered
+    within slices of values, so no group is sorted whole. Without one of the groups its figures are null.
+    """
+    from pyspark.sql import Window as W
+
+    pos, neg = F.when(F.col(label), F.col(score)), F.when(~F.col(label), F.col(score))
+    moments = scored.agg(*[f(c).alias(f"{n}_{k}") for k, c in (("positive", pos), ("negative", neg)) for n, f in (("mean", F.avg), ("var", F.var_pop), ("n", F.count))])
+    per = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((~F.col(label)).cast("long")).alias("n")).withColumn("slice", F.floor(F.col("s") * slices))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = per.groupBy("slice").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    base = totals.select("slice", earlier("p", W.orderBy("slice")).alias("bp"), earlier("n", W.orderBy("slice")).alias("bn"))
+    within = W.partitionBy("slice").orderBy("s")
+    below = per.withColumns({"ip": earlier("p", within), "inn": earlier("n", within)}).join(base, "slice").select("s", "p", "n", (F.col("bp") + F.col("ip")).alias("below_p"), (F.col("bn") + F.col("inn")).alias("below_n"))
+    placed = below.crossJoin(F.broadcast(moments.select("n_positive", "n_negative")))  # one row
+    at = lambda k, under, total: F.max(F.when((F.col(under) <= F.least(F.floor(F.lit(q) * F.col(total)), F.col(total) - 1)) & (F.col(k) > 0), F.col("s")))
+    j = F.try_divide("below_n", "n_negative") - F.try_divide("below_p", "n_positive")
+    best = placed.withColumn("j", j).agg(at("p", "below_p", "n_positive").alias("q_positive"), at("n", "below_n", "n_negative").alias("q_negative"), F.max(F.struct("j", -F.col("s"))).alias("b"))
+    row = moments.crossJoin(F.broadcast(best))  # one row each
+    apart = (F.col("mean_positive") - F.col("mean_negative")) / F.sqrt((F.col("var_positive") + F.col("var_negative")) / 2 + 1e-9)
+    return row.select("mean_positive", "mean_negative", "var_positive", "var_negative", "q_positive", "q_negative", apart.alias("d_prime"), (-F.col("b.col2")).alias("threshold"), F.col("b.j").alias("youden_j"))
+
+
 by_value(__name__)

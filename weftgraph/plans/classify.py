@@ -55,6 +55,11 @@ def class_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("class", "gold", "predicted", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def classifier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = corpus.accuracy_summary(_predicted(spark, sf_dir))
+    return out.select("total", "predicted", "correct", *[F.round(c, 6).alias(c) for c in ("accuracy", "coverage", "macro_f1")])
+
+
 def routing_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions against the gold class: exactly right, abstained."""
     p = _predicted(spark, sf_dir)
@@ -84,7 +89,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC,
 _BASE = _sql()
 _GOLD = "CASE lower(trim(source, ' ')) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in GOLD.items()) + " END"
 _PRED = _BASE + f", q AS (SELECT {_GOLD} AS gold, CASE WHEN c1 >= 0.13 THEN class END AS pred FROM documents JOIN g USING (doc_id)), z AS (SELECT * FROM q WHERE gold IS NOT NULL)\n"
-QUERIES = {f.__name__: f for f in (class_scores, domain_gate, class_profile, chunk_class_merge, confusion_matrix, class_accuracy, routing_eval, cascade_classes)}
+QUERIES = {f.__name__: f for f in (class_scores, domain_gate, class_profile, chunk_class_merge, confusion_matrix, class_accuracy, classifier_summary, routing_eval, cascade_classes)}
 ORACLES = {
     "class_scores": _BASE + "SELECT doc_id, class, round(confidence, 6) AS confidence FROM p",
     "domain_gate": _BASE + "SELECT CASE WHEN c1 < 0.25 THEN 'abstain' WHEN c1 - c2 < 0.15 THEN 'multi' ELSE 'single' END AS decision, count(*) AS n FROM g GROUP BY 1",
@@ -94,5 +99,8 @@ ORACLES = {
     "class_accuracy": _PRED + """, c AS (SELECT class, sum(g)::BIGINT AS gold, sum(p)::BIGINT AS predicted, sum(tp)::BIGINT AS tp FROM (SELECT gold AS class, 1 AS g, 0 AS p, coalesce((gold = pred)::INT, 0) AS tp FROM z UNION ALL SELECT pred, 0, 1, 0 FROM z WHERE pred IS NOT NULL) GROUP BY 1),
 v AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS pr, CASE WHEN gold > 0 THEN tp / gold ELSE 0.0 END AS re FROM c)
 SELECT class, gold, predicted, tp, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS f1 FROM v""",
+    "classifier_summary": _PRED + """, gk AS (SELECT DISTINCT gold AS c FROM z), gt AS (SELECT c, count(*) FILTER (gold = c AND pred = c) AS tp, count(*) FILTER (gold = c) AS g, count(*) FILTER (pred = c) AS p FROM gk, z GROUP BY 1),
+gf AS (SELECT CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * (tp / p) * (tp / g) / (tp / p + tp / g) END AS f1 FROM gt)
+SELECT count(*) AS total, count(pred) AS predicted, count(*) FILTER (gold = pred) AS correct, round(count(*) FILTER (gold = pred) / count(*), 6) AS accuracy, round(count(pred) / count(*), 6) AS coverage, round((SELECT avg(f1) FROM gf), 6) AS macro_f1 FROM z""",
     "routing_eval": _PRED + "SELECT count(*) AS n, count(*) FILTER (gold = pred) AS exact, count(*) FILTER (pred IS NULL) AS abstained FROM z",
 }

@@ -55,6 +55,13 @@ def best_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.best_match(near, "query", "id", "sim", 0.3, 0.02)
 
 
+def similarity_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the cosines of accepted decisions stand apart from those of the others."""
+    rows = table(spark, sf_dir, "merge_decisions", ("merge_decision_id", "cosine", "verdict")).where("cosine IS NOT NULL AND verdict IS NOT NULL").distinct()
+    out = evaluate.separation(rows.withColumn("hit", F.col("verdict") == "accept"), "cosine", "hit")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
 def similarity_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the recorded cosine of a match tells accepted from rejected ones."""
     rows = table(spark, sf_dir, "merge_decisions", ("merge_decision_id", "cosine", "verdict")).distinct().where("cosine IS NOT NULL")
@@ -92,13 +99,20 @@ def _counts(level: str, key: str, e: str = "e", g: str = "g") -> str:
 _ALL = " UNION ALL ".join(_counts(level, "run_id") for level in ("entity", "relation", "triple"))
 _PRF = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS re"
 _F1 = "round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS f1"
-QUERIES = {f.__name__: f for f in (exact_prf, micro_prf, per_domain_prf, ign_prf, semantic_prf, best_alignment, similarity_auc, node_capture)}
+QUERIES = {f.__name__: f for f in (exact_prf, micro_prf, per_domain_prf, ign_prf, semantic_prf, best_alignment, similarity_auc, similarity_separation, node_capture)}
 ORACLES = {
     "exact_prf": _T + f"SELECT k AS run_id, level, tp, fp, fn FROM ({_ALL})",
     "micro_prf": _T + f", c AS (SELECT level, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({_ALL}) GROUP BY 1), v AS (SELECT *, {_PRF} FROM c) SELECT level, tp, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, {_F1} FROM v",
     "per_domain_prf": _T + f", c AS ({_counts('triple', 'p')}), v AS (SELECT *, {_PRF} FROM c) SELECT k AS method, tp, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, {_F1} FROM v",
     "ign_prf": _T + ", s AS (SELECT DISTINCT lower(trim(s)) || '|' || lower(trim(p)) || '|' || lower(trim(o)) AS k FROM g WHERE run_id = 'run-nightly-main'), e2 AS (SELECT * FROM e WHERE lower(trim(s)) || '|' || lower(trim(p)) || '|' || lower(trim(o)) NOT IN (SELECT k FROM s)), g2 AS (SELECT * FROM g WHERE lower(trim(s)) || '|' || lower(trim(p)) || '|' || lower(trim(o)) NOT IN (SELECT k FROM s))" + f", c AS (SELECT level, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({_counts('triple', 'run_id', 'e2', 'g2')}) GROUP BY 1), v AS (SELECT *, {_PRF} FROM c) SELECT level, tp, fp, fn, {_F1} FROM v",
     "best_alignment": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.id AS query, x.id, round(list_cosine_similarity(q.e, x.e), 6) AS sim FROM v q JOIN v x ON q.id <> x.id WHERE q.id % 20 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS r, lead(sim) OVER (PARTITION BY query ORDER BY sim DESC, id) AS nxt FROM s) SELECT query, id FROM t WHERE r = 1 AND sim >= 0.3 AND sim - nxt >= 0.02",
+    "similarity_separation": """WITH d AS (SELECT DISTINCT merge_decision_id, cosine AS s, verdict = 'accept' AS hit FROM merge_decisions WHERE cosine IS NOT NULL AND verdict IS NOT NULL),
+m AS (SELECT avg(s) FILTER (hit) AS mp, avg(s) FILTER (NOT hit) AS mn, var_pop(s) FILTER (hit) AS vp, var_pop(s) FILTER (NOT hit) AS vn, count(*) FILTER (hit) AS np, count(*) FILTER (NOT hit) AS nn FROM d),
+o AS (SELECT s, hit, row_number() OVER (PARTITION BY hit ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY hit) AS n FROM d),
+t AS (SELECT DISTINCT s FROM d), j AS (SELECT t.s, (SELECT count(*) FROM d WHERE hit AND d.s >= t.s) / np - (SELECT count(*) FROM d WHERE NOT hit AND d.s >= t.s) / nn AS j FROM t, m)
+SELECT round(mp, 6) AS mean_positive, round(mn, 6) AS mean_negative, round(vp, 6) AS var_positive, round(vn, 6) AS var_negative,
+  round((SELECT s FROM o WHERE hit AND i = floor(0.05 * n)), 6) AS q_positive, round((SELECT s FROM o WHERE NOT hit AND i = floor(0.05 * n)), 6) AS q_negative,
+  round((mp - mn) / sqrt((vp + vn) / 2 + 1e-9), 6) AS d_prime, round((SELECT arg_max(s, row(round(j, 12), -s)) FROM j), 6) AS threshold, round((SELECT max(j) FROM j), 6) AS youden_j FROM m""",
     "similarity_auc": "WITH d AS (SELECT DISTINCT merge_decision_id, cosine, verdict FROM merge_decisions WHERE cosine IS NOT NULL), p AS (SELECT cosine AS s, count(*) FILTER (verdict = 'accept') AS p, count(*) FILTER (verdict <> 'accept') AS n FROM d GROUP BY 1), w AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM p) SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM w",
     "node_capture": _T + f", c AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({_counts('entity', 'run_id')})), v AS (SELECT *, {_PRF} FROM c) SELECT 'node' AS level, tp, fp, fn, {_F1} FROM v",
 }
