@@ -55,4 +55,5 @@ def test_against_duckdb(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
-    assert df.columns and df.count() >= 0
+    rows = df.collect()
+    assert (rows or name == "fuzzy_merge") and all(any(v is not None for v in r) for r in rows)  # no two names are that alike here

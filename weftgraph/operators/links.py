@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.references import is_external, link_slug, links
 from weftgraph.functions.shipping import by_value
+from weftgraph.session import cut
 
 
 def reference_graph(documents: DataFrame, path: str, text: str) -> DataFrame:
@@ -27,13 +28,20 @@ def reference_graph(documents: DataFrame, path: str, text: str) -> DataFrame:
 
 
 def followed(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(name, depth): what resolved links reach from the start within so many steps, each at its least depth."""
-    seen = start.select("name", F.lit(0).alias("depth")).distinct()
-    for depth in range(1, max_depth + 1):
+    """(name, depth): what resolved links reach from the start within so many steps (0: without limit), each at its least depth.
+
+    The frontier and what has been seen are written after every step, so a long walk has a short lineage.
+    """
+    seen = cut(start.select("name", F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while not max_depth or depth < max_depth:
+        depth += 1
         frontier = seen.where(F.col("depth") == depth - 1)
         reached = edges.join(frontier, edges["src"] == frontier["name"]).select(F.col("dst").alias("name")).distinct()
-        fresh = reached.join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(fresh)
+        fresh = cut(reached.join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth)))
+        if fresh.isEmpty():
+            break
+        seen = cut(seen.unionByName(fresh))
     return seen
 
 

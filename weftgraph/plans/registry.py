@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("instants", "structured", "graph", "exports", "text", "classify", "conversations", "vectors", "resolve", "temporal", "evaluation", "quality", "incremental")
+MODULES = ("instants", "structured", "graph", "exports", "text", "classify", "conversations", "vectors", "resolve", "temporal", "evaluation", "quality", "incremental", "lexical")
 
 
 def _modules():
