@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 # Words that open a sentence and are no part of a proper name.
 LEADING_WORDS = ("the", "a", "an", "this", "that", "these", "those", "we", "you", "they", "it", "he", "she", "but", "and", "or", "so", "then", "if", "when", "while", "as", "in", "on", "at", "for", "to", "of")
-#: A compact default; pass another set where the corpus needs one.
-STOPWORDS = ("the", "and", "for", "that", "with", "was", "were", "are", "has", "had", "have", "not", "but", "you", "our", "its", "his", "her", "they", "this", "from", "say", "who", "why", "did", "when", "one", "two", "der", "die", "das", "und", "den", "von", "mit", "que", "los", "las", "por", "les", "des", "une", "est")
+# Glue words that a term count leaves out; pass another set where the corpus needs one.
+STOPWORDS = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "any", "can", "had", "her", "was", "one", "our", "out", "his", "has", "him", "how", "its", "may",
+    "new", "now", "old", "see", "two", "way", "who", "did", "get", "let", "put", "say", "she", "too", "use", "that", "this", "with", "have", "from", "they",
+    "will", "would", "there", "their", "what", "about", "which", "when", "make", "like", "time", "just", "know", "into", "your", "some", "could", "them",
+    "than", "then", "look", "only", "come", "over", "also", "back", "after", "work", "first", "well", "even", "want", "because", "these", "give", "most",
+    "been", "were", "such", "very", "more", "much", "many", "here", "does", "each", "where", "while", "those", "being", "every", "should", "shall", "might",
+    "must", "ever", "thing", "things", "really", "actually", "going", "kind", "okay", "yeah", "right", "lot", "got", "etc",
+)
+# The patterns of proper-noun runs and of single words.
 #: Word boundaries are those of ASCII words, whatever the regex engine thinks of accents.
 PROPER_NOUN = r"(?<!\w)[A-Z][A-Za-z0-9'’]+(?:\s+[A-Z][A-Za-z0-9'’]+){1,3}(?:(?<=\w)(?!\w)|(?<=\W)(?=\w))"
 WORD = r"[a-z0-9](?:[a-z0-9'’_-]*[a-z0-9])?"
@@ -19,6 +27,7 @@ ANTONYMS = (
     ("increased", "decreased"), ("joined", "left"), ("alive", "dead"), ("valid", "invalid"), ("supported", "unsupported"),
 )
 SUBSTRING_ANTONYMS = ANTONYMS[:4]
+# Fixed value: the words that negate a statement.
 NEGATION = r"\b(not|no|never|none|without|n't|cannot|can't|isn't|aren't|doesn't|didn't|won't)\b"
 SEPARATOR = "␟"
 
